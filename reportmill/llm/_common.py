@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -50,3 +54,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[Sequence]], ddl: str) -> DataFrame:
+    """``mapInArrow`` over columns: ``work`` yields, for each batch it makes, a list of columns (Arrow arrays, numpy
+    arrays or lists; None is null) in the order of ``ddl``. Ids never pass through floats, as nullable ones in pandas do."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in work(batches):
+            made = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, schema=arrow)
+
+    return df.mapInArrow(run, schema)

@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,17 +77,18 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, space_leads: bool = False) -> DataFrame:
     """Encodes whole texts, appends ``end_id`` and cuts into full windows and a rest."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         encode, end = encoder(tokenizer_path, space_leads).encode, int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(encode(text) + end)
                 n = len(ids) // 4
-                rows += [(None if pd.isna(doc_id) else int(doc_id), at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                rows += [(doc_id, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
+            if rows:
+                yield [*zip(*rows)]
 
-    return c.pick(docs, "doc_id", "text").mapInPandas(cut, PIECE)
+    return c.map_batches(c.pick(docs, "doc_id", "text"), cut, PIECE)
 
 
 def pack(pieces: DataFrame, window: int = 4096, shard_tokens: int = 1 << 21) -> DataFrame:

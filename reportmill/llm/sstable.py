@@ -24,7 +24,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -168,19 +168,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     dealt = c.pick(docs, "doc_id", "text").withColumn("salt", F.xxhash64("text"))
     dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         encode, end = encoder(tokenizer_path, space_leads).encode, int(end_id).to_bytes(4, "little")
         out = stream = None
         last, number = object(), 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
                     store, folder = files.open_store(path)
                     store.create_dir(folder, recursive=True)
                     name = files.attempt_name("shard", ".sst")
                     stream = store.open_output_stream(f"{folder}/{name}")
                     out = ShardWriter(stream)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
                 number = number + 1 if doc_id == last else 0
                 last = doc_id
                 out.add(key_of(doc_id, number), encode(text) + end)
@@ -190,31 +189,31 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             out.close()
             stream.close()
             context = TaskContext.get()
-            yield pd.DataFrame([(context.partitionId() if context else 0, f"{path}/{name}", out.documents, out.tokens, out.low, out.last)], columns=["part", "path", "documents", "tokens", "first_key", "last_key"])
+            yield [[context.partitionId() if context else 0], [f"{path}/{name}"], [out.documents], [out.tokens], [out.low], [out.last]]
 
-    return c.cut(dealt.select("doc_id", "text").mapInPandas(write, MANIFEST), "shard-list")
+    return c.cut(c.map_batches(dealt.select("doc_id", "text"), write, MANIFEST), "shard-list")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the listed shards: doc_id, start, n_tokens, ids_crc32, in order of ids within a shard."""
     before = F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         reader = files.RangeReader()
         for batch in batches:
-            for path, start in zip(batch["path"], batch["before"]):
-                shard, at = ShardReader(path, reader), int(start)
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard, at = ShardReader(path, reader), start
                 for n in range(len(shard.blocks)):
                     rows = []
                     for key, ids in shard.block(n):
                         rows.append((id_of(key), at, len(ids), zlib.crc32(ids)))
                         at += len(ids)
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    yield [*zip(*rows)]
         reader.close()
 
     listed = manifest.select("path", before.alias("before"))
     listed = listed.repartition(c.part_count(manifest.sparkSession), "path")
-    return listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return c.map_batches(listed, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
@@ -225,16 +224,16 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     # A shard list has a row per file; a range join on it is bounded by wanted ids times the one or two shards that may hold each.
     hits = wanted.join(F.broadcast(manifest.select("path", "first_key", "last_key")), (F.substring("first_key", 1, 9) <= F.substring("key", 1, 9)) & (F.col("last_key") >= F.col("key")))
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         reader, shards = files.RangeReader(), {}
         for batch in batches:
             rows = []
-            for path, doc_id in zip(batch["path"], batch["doc_id"].array):
+            for path, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if path not in shards:
                     shards[path] = ShardReader(path, reader)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
                 rows += [(doc_id, got.tolist()) for got in shards[path].get(doc_id)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+            if rows:
+                yield [*zip(*rows)]
         reader.close()
 
-    return hits.repartition("path").select("path", "doc_id").mapInPandas(fetch, "doc_id long, ids array<long>")
+    return c.map_batches(hits.repartition("path").select("path", "doc_id"), fetch, "doc_id long, ids array<long>")
