@@ -16,33 +16,47 @@ from array import array
 class ChunkEncoder:
     """``encode(text)`` gives the ids as unsigned 32-bit integers in the machine's order, in bytes.
 
-    ``space_leads``: a chunk's ids depend on the space before it. ``most`` bounds the kept chunks.
+    ``space_leads``: a chunk's ids depend on the space before it. ``most`` bounds the kept
+    chunks: when so many are known they become the older half, from which those still in use come back.
     """
 
-    def __init__(self, path: str, space_leads: bool, most: int = 1_000_000):
+    def __init__(self, path: str, space_leads: bool, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lead, self.most = Tokenizer.from_file(path), " " if space_leads else "", most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        known, tails, split = self.known, self.tails, []
+        known, older, tails, split, plain = self.known, self.older, self.tails, [], []
         for chunk in chunks:
+            ids = older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+                continue
             core = chunk.rstrip(".,")
-            if len(core) == len(chunk) or not core or not core[-1].isalnum():
-                core = chunk
-            split.append((chunk, core, chunk[len(core) :]))
-        cores = list({core for _, core, _ in split if core not in known})
-        known.update(zip(cores, self._ids([self.lead + c for c in cores] if self.lead else cores)))
+            if len(core) < len(chunk) and core and core[-1].isalnum():
+                split.append((chunk, core, chunk[len(core) :]))
+                if core not in known:
+                    ids = older.get(core)
+                    if ids is None:
+                        plain.append(core)
+                    else:
+                        known[core] = ids
+            else:
+                plain.append(chunk)
+        plain = list(set(plain))
+        known.update(zip(plain, self._ids([self.lead + c for c in plain] if self.lead else plain)))
         for chunk, core, tail in split:
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self._ids([tail])[0]
-                known[chunk] = known[core] + tails[tail]
+            if tail not in tails:
+                if len(tails) > 1000:
+                    tails.clear()
+                tails[tail] = self._ids([tail])[0]
+            known[chunk] = known[core] + tails[tail]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text; null is empty."""
@@ -55,8 +69,7 @@ class ChunkEncoder:
         found = [*map(self.known.get, chunks)]
         if None in found:
             if len(self.known) > self.most:
-                self.known.clear()
-                self.tails.clear()
+                self.known, self.older = {}, self.known
                 found = [None] * len(chunks)
             new = list({c for c, f in zip(chunks, found) if f is None})
             if len(new) > self.most or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
