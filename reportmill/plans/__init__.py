@@ -1,0 +1 @@
+"""Whole routes: from transcripts to records and run reports."""
