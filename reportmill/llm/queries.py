@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill.llm import _common as c
-from reportmill.llm import licenses, mixing, neardup, packing, sstable, substrings, syncmers, toxicity, warc
+from reportmill.llm import licenses, mixing, nearest, neardup, packing, sstable, substrings, syncmers, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """A vocabulary file's place; it is installed on every machine alike."""
     import public_tokenizers
 
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(table, table.where("vec_id % 50 = 0"))
+
+
 def op4_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = c.scratch(spark, "captures")
     index = warc.write_index(warc.write_archives(_table(spark, sf_dir, "pages"), folder), folder)
@@ -52,7 +57,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sstable.write_shards(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), c.scratch(spark, "token-shards"))
+    shards = sstable.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), c.scratch(spark, "token-shards"))
     return sstable.read_shards(shards)
 
 
@@ -61,12 +66,13 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
+    "op3_nearest": op3_nearest,
     "op4_captures": op4_captures,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,
