@@ -14,6 +14,8 @@ Positional matching: ``anchor_matches`` gives the token positions at which two t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def with_next(docs: DataFrame, block_rows: int = 2000, most_ranges: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, block_rows: int = 2000, most_ranges: int = 10_000, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds ``next``, a struct of all columns: the next row in descending order of ``doc_id`` (null last, then by ``tie``), and after
-    the last row the first. ``docs`` has doc_id and a long ``tie`` that spreads rows of one id.
+    the last row the first. ``docs`` has doc_id and a long ``tie`` that spreads rows of one id. ``prepare`` adds columns to each row, once, before rows move.
 
     Rows go to ranges of the id, with bounds from the ids alone; a range that is one id with very many rows is cut
     by ``tie``. Each range also gets the first row of the one behind it, so the rows' payload is shuffled once and no task holds more than a range.
@@ -107,7 +109,9 @@ def with_next(docs: DataFrame, block_rows: int = 2000, most_ranges: int = 10_000
     ahead = ahead.select(*docs.columns, "__k", F.col("__to").alias("__slot")).dropDuplicates(["__slot"])
     rows = slotted.withColumn("__extra", F.lit(False)).unionByName(ahead.withColumn("__extra", F.lit(True)))
     line = Window.partitionBy("__slot").orderBy("__extra", F.col("__k").desc(), "tie")
-    led = rows.withColumn("next", F.lead(F.struct(*docs.columns)).over(line))
+    rows = prepare(rows)
+    shown = [x for x in rows.columns if x not in ("__k", "__slot", "__extra")]
+    led = rows.withColumn("next", F.lead(F.struct(*shown)).over(line))
     return led.where("not __extra").drop("__k", "__slot", "__extra")
 
 
@@ -119,9 +123,8 @@ def fingerprint_edits(docs: DataFrame, k: int = 8, s: int = 2, piece: int = 24,
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("tie", F.xxhash64("text"))
-    own = fingerprint_column(own, "text", "anchors", k, s, piece)
     # Neighbours exchange what the other needs: the text, of which a third of the other's length is used, and the anchors.
-    led = with_next(own, block_rows)
+    led = with_next(own, block_rows, prepare=lambda rows: fingerprint_column(rows, "text", "anchors", k, s, piece))
     led = led.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     led = led.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut")), F.substring(F.col("next.text"), F.lit(1), F.col("cut"))))
     led = led.select("doc_id", "n_chars", "anchors", F.col("next.anchors").alias("next_anchors"), F.sha2("edited", 256).alias("edited_sha256"), "edited")
