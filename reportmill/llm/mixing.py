@@ -146,7 +146,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
 
     # Which shard has which copy: copies of a source are numbered turn by turn along the permuted blocks.
     per_turn = Window.partitionBy("source_no")
-    numbered = blocks.select("source_no", "block", "place", F.count("*").over(per_turn).alias("n"), F.explode(F.when(F.col("turns") > 0, F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("copy"))
+    numbered = blocks.withColumn("n", F.count("*").over(per_turn))  # before a block becomes a row per copy
+    turns = F.when(F.col("turns") > 0, F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).otherwise(F.array().cast("array<bigint>"))
+    numbered = numbered.select("source_no", "block", "place", "n", F.explode(turns).alias("copy"))
     numbered = numbered.select("source_no", "block", "copy", (F.col("copy") * F.col("n") + F.col("place")).alias("number"))
     counts = targets.select("source_no").join(blocks.groupBy("source_no").agg(F.sum("turns").alias("copies")), "source_no", "left").select("source_no", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
     leaves = c.cut(split_tree(counts, levels, seed), "leaves")
@@ -175,6 +177,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_ep
     mark = F.xxhash64(F.lit(seed), "doc_id", "text")
     # Equal rows share a mark and are taken alike, so one plan row for each mark and id is enough.
     plan = mix(docs, weights, most_epochs, block_docs, levels, seed, ("text",)).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies"))
-    plan = c.cut(plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "copies"), "mix")
+    plan = c.cut(plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")), "mix")
     met = docs.withColumn("__m", mark).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")))
-    return met.select(*[docs[x] for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return met.select(*[docs[x] for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
