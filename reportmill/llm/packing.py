@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,15 +99,15 @@ def pack(pieces: DataFrame, window: int = 4096, shard_tokens: int = 1 << 21) ->
     total = pieces.agg(F.sum("length")).first()[0] or 0
     shards = -(-total // shard_tokens) or 1
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        placed = best_fit_decreasing(rows["length"].tolist(), window)
-        return rows.assign(local=[p[0] for p in placed], offset=[p[1] for p in placed])
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        placed = best_fit_decreasing(rows.column("length").to_pylist(), window)
+        return rows.append_column("local", pa.array([p[0] for p in placed], pa.int64())).append_column("offset", pa.array([p[1] for p in placed], pa.int64()))
 
     # Dealt at random under a fixed seed, not by a hash of the row: equal rows would all meet in one shard.
     spread = F.floor(F.rand(7) * shards).cast("long")
     placed = c.cut(
-        pieces.withColumn("shard", spread).groupBy("shard").applyInPandas(place, PIECE + ", shard long, local long, offset long"), "placed"
+        pieces.withColumn("shard", spread).groupBy("shard").applyInArrow(place, PIECE + ", shard long, local long, offset long"), "placed"
     )
     sizes = placed.groupBy("shard").agg((F.max("local") + 1).alias("sequences"))
     base = sizes.select("shard", (F.sum("sequences").over(Window.orderBy("shard")) - F.col("sequences")).alias("base"))

@@ -112,13 +112,16 @@ def _text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def dedup_passages(docs: DataFrame, unit_words: int = 4, run_words: int = 16, anchor: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_passages(docs: DataFrame, unit_words: int = 4, run_words: int = 16, anchor: int = 16) -> DataFrame:
     """One row per document: doc_id, text (what stays), n_units, n_words, removed_words, removed_spans ('from-to' code point
-    offsets into the original, comma-joined), original_chars, and the columns in ``carry``."""
+    offsets into the original, comma-joined) and original_chars."""
+    return _dedup(docs, unit_words, run_words, anchor, [])
+
+
+def _dedup(docs: DataFrame, unit_words: int, run_words: int, anchor: int, carried: list[str]) -> DataFrame:
+    """With the columns in ``carried`` as ``__0``, ``__1`` and so on."""
     gone = repeated_units(docs, unit_words, anchor)
     made = "doc_id long, text string, n_units long, n_words long, removed_words long, removed_spans string, original_chars long"
-    own = {f: i for i, f in enumerate(("doc_id", "text"))}
-    carried = [f for f in carry if f not in own]
     frame = docs.select("doc_id", "text", *[F.col(f).alias(f"__{i}") for i, f in enumerate(carried)])
     frame = frame.withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
     # A document's list is one row for each id and text; ids alone nearly always tell them apart.
@@ -157,15 +160,15 @@ def dedup_passages(docs: DataFrame, unit_words: int = 4, run_words: int = 16, an
                 yield [batch.column("doc_id"), *zip(*rows), *[batch.column(f"__{i}") for i in range(len(carried))]]
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = c.map_batches(met, work, made + "".join(f", __{i} {kinds[f]}" for i, f in enumerate(carried)))
-    return out.select(*[F.col(x.split()[0]) for x in made.split(", ")], *[F.col(f"__{i}").alias(f) for i, f in enumerate(carried)])
+    return c.map_batches(met, work, made + "".join(f", __{i} {kinds[f]}" for i, f in enumerate(carried)))
 
 
 def drop_repeats(docs: DataFrame, unit_words: int = 4, run_words: int = 16, anchor: int = 16) -> DataFrame:
     """The documents, with their columns, without repeated passages; ``n_chars`` follows the text. A document of
     which nothing but white space stays is left out; one that had no words to begin with is kept."""
-    out = dedup_passages(docs, unit_words, run_words, anchor, tuple(docs.columns))
-    out = out.where("removed_words = 0 or removed_words < n_words")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    carried = [x for x in docs.columns if x not in ("doc_id", "text")]
+    out = _dedup(docs, unit_words, run_words, anchor, carried).where("removed_words = 0 or removed_words < n_words")
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {x: F.col(f"__{i}") for i, x in enumerate(carried)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("removed_words") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[x].alias(x) for x in docs.columns])

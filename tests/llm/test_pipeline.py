@@ -50,5 +50,5 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
 
 def test_it_is_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert entry.queries()["pipeline"] is pipeline.run and "pipeline" not in entry.oracle_sql()
+    assert entry.queries()["pipeline"].__wrapped__ is pipeline.run and "pipeline" not in entry.oracle_sql()
     assert len([n for n in entry.queries() if n.startswith("op")]) == 10
