@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -211,8 +212,6 @@ def _violations(value: Column, node: Any, path: Column) -> list[Column]:
 
 def conform(text: Column) -> Column:
     """A JSON object's text with the template's missing keys added, as null, [] or {...}; extra keys and all values stay."""
-    import pandas as pd
-
     def empty(node: Any) -> Any:
         return {k: empty(v) for k, v in node.items()} if isinstance(node, dict) else [] if isinstance(node, list) else None
 

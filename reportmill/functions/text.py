@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,8 +144,6 @@ def token_key(c: Column) -> Column:
 
 def normalize_forms(c: Column) -> Column:
     """NFKC, by an Arrow function for texts beyond ASCII alone."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")

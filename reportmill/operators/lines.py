@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from reportmill.functions import text as T
 
 _MARK = r"^<!--\s*PAGE_(START|END):\s*(\d+)\s*-->$"
-DOCUMENT = Window.partitionBy("document_id").orderBy("line_no")
+
+
+def by_line():
+    """A document's lines in order. All windows over lines use it, so they share one sort."""
+    return Window.partitionBy("document_id").orderBy("line_no")
 
 
 def lines(transcripts: DataFrame) -> DataFrame:
@@ -21,7 +25,7 @@ def lines(transcripts: DataFrame) -> DataFrame:
     rows = dealt.select("document_id", F.posexplode(T.split_lines(F.coalesce("markdown", F.lit("")))).alias("line_no", "raw")).withColumn("line", T.strip(F.col("raw")))
     page = F.regexp_extract("raw", r"<!-- PAGE_START: (\d+) -->", 1)
     page = F.when(page != "", F.try_to_number(page, F.lit("999999999"))).cast("int")
-    return rows.withColumn("page", F.last(page, ignorenulls=True).over(DOCUMENT.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("page", F.last(page, ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def prose(numbered: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def furniture(rows: DataFrame, document: str = "document_id", page: str = "page"
 def transcript_furniture(numbered: DataFrame) -> DataFrame:
     """(document_id, key) of running headers and footers, by the page that either mark names last."""
     mark = F.regexp_extract("line", _MARK, 2)
-    at = F.last(F.when(mark != "", F.try_to_number(mark, F.lit("999999999"))).cast("int"), ignorenulls=True).over(DOCUMENT.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.last(F.when(mark != "", F.try_to_number(mark, F.lit("999999999"))).cast("int"), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     rows = numbered.select("document_id", at.alias("page"), F.when((mark == "") & (F.col("line") != "") & ~F.startswith("line", F.lit("|")), T.token_key(T.clean_piece(F.col("line")))).alias("key"))
     return furniture(rows).select("document_id", "key")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
-from reportmill.operators.lines import DOCUMENT
+from reportmill.operators.lines import by_line
 
 # What tells the column of a findings table, in the order in which roles are tried.
 FINDING_COLUMNS = {
@@ -42,8 +42,8 @@ def table_rows(numbered: DataFrame) -> DataFrame:
     ``page`` is that of the run's first line. Pipes inside cells come as ``&#124;``.
     """
     is_row = T.is_table_row(F.col("line"))
-    flagged = numbered.withColumn("is_row", is_row).withColumn("starts", F.col("is_row") & ~F.coalesce(F.lag("is_row").over(DOCUMENT), F.lit(False)))
-    before = DOCUMENT.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = numbered.withColumn("is_row", is_row).withColumn("starts", F.col("is_row") & ~F.coalesce(F.lag("is_row").over(by_line()), F.lit(False)))
+    before = by_line().rowsBetween(Window.unboundedPreceding, 0)
     run = flagged.withColumn("table_no", F.sum(F.col("starts").cast("int")).over(before)).withColumn("page", F.last(F.when(F.col("starts"), F.struct("page")), ignorenulls=True).over(before)["page"])
     data = run.where("is_row").where(~F.col("line").rlike(r"(?U)^\|[\s\-:|]+\|$"))
     inner = F.expr("substring(line, 2, length(line) - 2)")
