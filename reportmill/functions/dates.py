@@ -23,15 +23,15 @@ ANY_DATE = (
 
 def _candidates(text: Column, pattern: str, shape: str) -> Column:
     """An array of (position, year, month, day), a row for each match. Positions come from cutting the text before each match."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # The gaps between matches give the place of each: gap lengths and match lengths up to it.
-    gaps = F.split(text, pattern, -1)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"))
 
     def number(s: Column) -> Column:
         return F.try_to_number(s, F.lit("9999")).cast("int")
 
-    def one(m: Column, i: Column) -> Column:
-        at = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(whole, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))
+    def one(both: Column, m: Column, i: Column) -> Column:
+        length = lambda a, g: a + F.length(g)
+        at = F.aggregate(F.slice(both["gaps"], F.lit(1), i + 1), F.lit(0), length) + F.aggregate(F.slice(both["whole"], F.lit(1), i), F.lit(0), length)
         g = [F.regexp_extract(m, pattern, k) for k in (1, 2, 3)]
         if shape == "ymd":
             y, mo, d = (number(x) for x in g)
@@ -46,7 +46,7 @@ def _candidates(text: Column, pattern: str, shape: str) -> Column:
         y = F.when(y < 100, y + 2000).otherwise(y) if shape != "ymd" else y
         return F.struct(at.alias("at"), y.alias("y"), mo.alias("m"), d.alias("d"))
 
-    return F.filter(F.transform(whole, one), lambda x: x["m"] > 0)
+    return let(cut, lambda both: F.filter(F.transform(both["whole"], lambda m, i: one(both, m, i)), lambda x: x["m"] > 0))
 
 
 def _plain(c: Column) -> Column:

@@ -83,8 +83,7 @@ def unwrap_url(c: Column) -> Column:
 
 def compact(cells: Column) -> Column:
     """Cells without the empty ones and without those that repeat the one before."""
-    full = F.filter(F.transform(cells, strip), lambda x: x != "")
-    return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+    return let(F.filter(F.transform(cells, strip), lambda x: x != ""), lambda full: F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1))))
 
 
 def first_index(cells: Column, test) -> Column:
@@ -207,7 +206,7 @@ def cwes(c: Column) -> Column:
     flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")
     pattern = r"(?i)CWE-\d+(?:\s*[:\-–]\s*[^•\n]*?)?(?=\s*(?:•|CWE-\d|$|\s(?:Affected|Recommendation|Impact)\b))"
     all_of = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(0)), lambda x: F.btrim(x, F.lit(" ,;")))
-    return F.filter(all_of, lambda x, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda y: F.upper(y) == F.upper(x)))
+    return let(all_of, lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: F.upper(y) == F.upper(x))))
 
 
 def items(c: Column) -> Column:

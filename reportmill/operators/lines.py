@@ -19,6 +19,11 @@ def by_line():
     return Window.partitionBy("document_id").orderBy("line_no")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by document anew, after a union: Spark takes a union of parts that lie by document to lie so itself, yet such a union has the partitions of all its parts."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id")
+
+
 def lines(transcripts: DataFrame) -> DataFrame:
     """(document_id, line_no, raw, line, page): ``line`` without white space at its ends, ``page`` that of the last start mark up to it."""
     dealt = transcripts.select("document_id", "markdown").repartition("document_id")
