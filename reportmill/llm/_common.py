@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -56,14 +57,25 @@ def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[Sequence]], ddl: str) -> DataFrame:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of at most ``rows`` and about ``size`` bytes, so what a Python worker makes of a part is small, too."""
+    for batch in batches:
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[Sequence]], ddl: str, encodes: bool = False) -> DataFrame:
     """``mapInArrow`` over columns: ``work`` yields, for each batch it makes, a list of columns (Arrow arrays, numpy
-    arrays or lists; None is null) in the order of ``ddl``. Ids never pass through floats, as nullable ones in pandas do."""
+    arrays or lists; None is null) in the order of ``ddl``. Batches come in small parts. Workers outlive tasks, and so do
+    the chunks that a token encoder knows; work that doesn't encode frees them. Ids never pass through floats, as nullable ones in pandas do."""
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in work(batches):
+        if not encodes and (ids := sys.modules.get("reportmill.llm._ids")):
+            ids.encoder.cache_clear()
+        for columns in work(small(batches)):
             made = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 

@@ -134,18 +134,19 @@ def fingerprints(docs: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, digest, set) of the representatives in ``wanted`` (node, digest), from their texts."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             rows = []
-            for node, digest, text in zip(batch["node"], batch["digest"], batch["text"]):
+            for node, digest, text in zip(*(x.to_pylist() for x in batch.columns)):
                 s = shingle_set(text, k)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # a shared doc_id may have other texts
                     rows.append((node, s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "shingles"])
+            if rows:
+                yield [*zip(*rows)]
 
     named = wanted.withColumn("doc_id", F.when(F.col("node") < 1 << 62, F.col("node")))
     texts = c.pick(docs, "doc_id", "text").join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "inner").select("node", "digest", "text")
-    return texts.mapInPandas(work, "node long, shingles array<long>")
+    return c.map_batches(texts, work, "node long, shingles array<long>")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -184,7 +185,7 @@ def _as_words(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketcher: Sketcher | None = None, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketcher: Sketcher | None = None, block: int = 128) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and ``n_equal``, the rows with its very set.
 
     ``percent``: least similarity in hundredths. ``block``: members that meet at a time in step 5.

@@ -77,17 +77,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_i
     """Encodes whole texts, appends ``end_id`` and cuts into full windows and a rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        encode, end = encoder(tokenizer_path, space_leads).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path, space_leads).encode_many, int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(text) + end)
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids = memoryview(data + end)
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
             if rows:
                 yield [*zip(*rows)]
 
-    return c.map_batches(c.pick(docs, "doc_id", "text"), cut, PIECE)
+    return c.map_batches(c.pick(docs, "doc_id", "text"), cut, PIECE, encodes=True)
 
 
 def pack(pieces: DataFrame, window: int = 4096, shard_tokens: int = 1 << 21) -> DataFrame:

@@ -169,11 +169,11 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        encode, end = encoder(tokenizer_path, space_leads).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path, space_leads).encode_many, int(end_id).to_bytes(4, "little")
         out = stream = None
         last, number = object(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 if out is None:
                     store, folder = files.open_store(path)
                     store.create_dir(folder, recursive=True)
@@ -182,7 +182,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                     out = ShardWriter(stream)
                 number = number + 1 if doc_id == last else 0
                 last = doc_id
-                out.add(key_of(doc_id, number), encode(text) + end)
+                out.add(key_of(doc_id, number), data + end)
         if out is not None:
             from pyspark import TaskContext
 
@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             context = TaskContext.get()
             yield [[context.partitionId() if context else 0], [f"{path}/{name}"], [out.documents], [out.tokens], [out.low], [out.last]]
 
-    return c.cut(c.map_batches(dealt.select("doc_id", "text"), write, MANIFEST), "shard-list")
+    return c.cut(c.map_batches(dealt.select("doc_id", "text"), write, MANIFEST, encodes=True), "shard-list")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
