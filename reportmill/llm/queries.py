@@ -29,7 +29,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

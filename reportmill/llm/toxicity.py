@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from reportmill.llm import _common as c
 
+#: Documents at this probability or above are rejected; held-out rows show no clean document there.
+THRESHOLD = 0.3
+
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -72,7 +75,7 @@ def _telling_words(rows: list[np.ndarray], y: np.ndarray, least: int, most: int)
     return np.sort(words[chosen[chi[chosen] > 6.6]])  # one in a hundred by chance
 
 
-def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, least: int = 5, most: int = 1000, steps: int = 200, decay: float = 1e-3) -> Linear:
+def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, least: int = 5, most: int = 2000, steps: int = 300, decay: float = 1e-5) -> Linear:
     """Logistic regression by Adam over the whole sample, with the telling words as features."""
     if len(y) == 0 or y.min() == y.max():
         return Linear(constant=float(y[0]) if len(y) else 0.0)
@@ -150,7 +153,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_columns: list[str]
     return rows, np.array([r["labels"] for r in got], np.int64).reshape(len(rows), len(label_columns))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_columns: tuple[str, ...] = ("toxic",), low_columns: tuple[str, ...] = ("quality",), sample_rows: int = 6000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, label_columns: tuple[str, ...] = ("toxic",), low_columns: tuple[str, ...] = ("quality",), sample_rows: int = 12_000) -> Chain:
     """A chain over ``low_columns`` turned round (0 is the bad side), then ``label_columns``, then all of them at once."""
     rows, y = labelled_sample(docs, labels, [*low_columns, *label_columns], sample_rows)
     y[:, : len(low_columns)] = 1 - y[:, : len(low_columns)]
@@ -170,13 +173,13 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     return c.map_batches(c.pick(docs, "doc_id", "text"), work, "doc_id long" + "".join(f", p_{n} double" for n in chain.names))
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, whose probability of ``category`` is under ``threshold``."""
     at = chain.names.index(category)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.small(batches):
             if batch.num_rows:
                 p = chain.score([word_features(t) for t in batch.column(names.index("text")).to_pylist()])
                 yield batch.filter(pa.array(p[:, at] < threshold))

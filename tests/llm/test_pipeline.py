@@ -26,7 +26,7 @@ def test_stages_keep_columns_and_follow_each_other(spark, sf):
             assert docs.columns == columns
     before, after = kept["toxicity"]
     chain = toxicity.train(before, spark.read.parquet(f"{sf}/labels.parquet"))
-    bad = {r.doc_id for r in toxicity.score_toxicity(before, chain).collect() if r.p_toxic >= 0.5}
+    bad = {r.doc_id for r in toxicity.score_toxicity(before, chain).collect() if r.p_toxic >= toxicity.THRESHOLD}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - bad
     before, after = kept["near_duplicates"]
     rows = [tuple(r) for r in before.select("doc_id", "text").collect()]

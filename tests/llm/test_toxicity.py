@@ -41,7 +41,7 @@ def test_real_labels(spark):
     sf = "/root/testdata/sf0.01"
     df, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     scored = {r.doc_id: r.p_toxic for r in T.score_toxicity(df, T.train(df, lab.where("doc_id % 5 <> 0"))).collect()}
-    held = [(scored[r.doc_id] >= 0.5, r.toxic) for r in lab.where("doc_id % 5 = 0").collect()]
+    held = [(scored[r.doc_id] >= T.THRESHOLD, r.toxic) for r in lab.where("doc_id % 5 = 0").collect()]
     assert sum(p and not t for p, t in held) <= 1
 
 
@@ -66,7 +66,7 @@ def test_odd_rows(spark, clashes):
     got = T.score_toxicity(df, chain).collect()
     assert len(got) == len(ROWS) and all(0 <= r.p_toxic <= 1 for r in got)
     left = T.drop_toxic(df, chain)
-    assert left.columns == df.columns and left.count() == sum(r.p_toxic < 0.5 for r in got)
+    assert left.columns == df.columns and left.count() == sum(r.p_toxic < T.THRESHOLD for r in got)
     bare = T.train(df, lab.where("false"))
     assert T.drop_toxic(df, bare).count() == len(ROWS)
     assert T.drop_toxic(documents(spark, []), T.train(documents(spark, []), lab)).count() == 0
