@@ -12,7 +12,7 @@ from reportmill.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity chain, fitted on labelled documents; those with a toxic probability of a half or more go."""
+    """Toxicity chain, fitted on labelled documents; those that its threshold calls toxic go."""
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, chain)
 
