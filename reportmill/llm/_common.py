@@ -57,6 +57,13 @@ def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def modest(spark: SparkSession, rows: int = 2000) -> None:
+    """Holds the session's Arrow batches to ``rows`` rows: the default suits numbers, and texts are thousands of times as long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in parts of at most ``rows`` and about ``size`` bytes, so what a Python worker makes of a part is small, too."""
     for batch in batches:
@@ -69,6 +76,7 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     """``mapInArrow`` over columns: ``work`` yields, for each batch it makes, a list of columns (Arrow arrays, numpy
     arrays or lists; None is null) in the order of ``ddl``. Batches come in small parts. Workers outlive tasks, and so do
     the chunks that a token encoder knows; work that doesn't encode frees them. Ids never pass through floats, as nullable ones in pandas do."""
+    modest(df.sparkSession)
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 

@@ -175,6 +175,7 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, whose probability of ``category`` is under ``threshold``."""
+    c.modest(docs.sparkSession)
     at = chain.names.index(category)
     names = docs.columns
 
