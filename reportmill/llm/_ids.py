@@ -27,6 +27,7 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -58,6 +59,15 @@ class ChunkEncoder:
                 tails[tail] = self._ids([tail])[0]
             known[chunk] = known[core] + tails[tail]
 
+    def _head(self, head: str) -> bytes:
+        """A text's first chunk, which has no space before it."""
+        ids = self.heads.get(head)
+        if ids is None:
+            if len(self.heads) > 100_000:
+                self.heads.clear()
+            ids = self.heads[head] = self._ids([head])[0]
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text; null is empty."""
         if not text:
@@ -71,12 +81,18 @@ class ChunkEncoder:
             if len(self.known) > self.most:
                 self.known, self.older = {}, self.known
                 found = [None] * len(chunks)
-            new = list({c for c, f in zip(chunks, found) if f is None})
+            lost = [i for i, f in enumerate(found) if f is None]
+            new = {chunks[i] for i in lost}
             if len(new) > self.most or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
                 return self._ids([text])[0]
-            self._learn(new)
-            found = [*map(self.known.__getitem__, chunks)]
-        return (self._ids([head])[0] if head else b"") + b"".join(found)
+            self._learn([*new])
+            known = self.known
+            for i in lost:
+                found[i] = known[chunks[i]]
+        return (self._head(head) if head else b"") + b"".join(found)
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return [*map(self.encode, texts)]
 
 
 @functools.lru_cache(maxsize=4)
