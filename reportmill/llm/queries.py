@@ -28,8 +28,9 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    toxic = F.col("p_toxic") >= toxicity.THRESHOLD if chain.tells("toxic") else F.lit(False)
+    return toxicity.score_toxicity(docs, chain).withColumn("toxic", toxic)
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ earlier probabilities come from models that never saw it, so a later model doesn
 probabilities better than those it will meet.
 
 Categories: the ``label_columns`` that were asked for, in order, and last a row that has all of them at
-once. A category that the sample has on one side only is predicted by its share.
+once. A category that the sample has on one side only, or that no word tells, is predicted by its share; a document is never rejected for that.
 
 The models are fitted on at most ``sample_rows`` labelled rows, chosen by a hash of the id, whose words (as 32-bit hashes, once each)
 come to the driver; ``sample_rows`` bounds that whatever the corpus's size. Words that occur in at least
@@ -80,6 +80,8 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, least:
     if len(y) == 0 or y.min() == y.max():
         return Linear(constant=float(y[0]) if len(y) else 0.0)
     words = _telling_words(rows, y, least, most)
+    if not len(words) and not before.shape[1]:
+        return Linear(constant=float(y.mean()))
     columns, lengths = [], []
     for r in rows:
         at = np.searchsorted(words, r)
@@ -109,6 +111,10 @@ class Chain:
     names: list[str]
     models: list[Linear]
 
+    def tells(self, name: str) -> bool:
+        """Whether any word speaks for the category; if none does, its probability is the sample's share, which rejects nothing."""
+        return any(len(m.words) and m.constant is None for m in self.models[: self.names.index(name) + 1])
+
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         p = np.empty((len(rows), len(self.models)))
         for j, model in enumerate(self.models):
@@ -175,6 +181,8 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, whose probability of ``category`` is under ``threshold``."""
+    if not chain.tells(category):
+        return docs
     c.modest(docs.sparkSession)
     at = chain.names.index(category)
     names = docs.columns

@@ -65,8 +65,8 @@ def test_odd_rows(spark, clashes):
     chain = T.train(df, lab)
     got = T.score_toxicity(df, chain).collect()
     assert len(got) == len(ROWS) and all(0 <= r.p_toxic <= 1 for r in got)
-    left = T.drop_toxic(df, chain)
-    assert left.columns == df.columns and left.count() == sum(r.p_toxic < T.THRESHOLD for r in got)
+    left = T.drop_toxic(df, chain)  # too few labels to tell anything by
+    assert left.columns == df.columns and not chain.tells("toxic") and left.count() == len(ROWS)
     bare = T.train(df, lab.where("false"))
     assert T.drop_toxic(df, bare).count() == len(ROWS)
     assert T.drop_toxic(documents(spark, []), T.train(documents(spark, []), lab)).count() == 0
