@@ -20,7 +20,7 @@ class ChunkEncoder:
     chunks: when so many are known they become the older half, from which those still in use come back.
     """
 
-    def __init__(self, path: str, space_leads: bool, most: int = 700_000):
+    def __init__(self, path: str, space_leads: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lead, self.most = Tokenizer.from_file(path), " " if space_leads else "", most
@@ -32,38 +32,43 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        known, older, tails, split, plain = self.known, self.older, self.tails, [], []
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't known. A chunk with stops behind a word that was never met before is not kept, only the word: most such words stay rare."""
+        known, older, tails, split, plain, got = self.known, self.older, self.tails, [], [], {}
         for chunk in chunks:
             ids = older.get(chunk)
             if ids is not None:
-                known[chunk] = ids
+                known[chunk] = got[chunk] = ids
                 continue
             core = chunk.rstrip(".,")
             if len(core) < len(chunk) and core and core[-1].isalnum():
-                split.append((chunk, core, chunk[len(core) :]))
-                if core not in known:
-                    ids = older.get(core)
-                    if ids is None:
-                        plain.append(core)
-                    else:
-                        known[core] = ids
+                ids = known.get(core) or older.get(core)
+                split.append((chunk, core, chunk[len(core) :], ids is not None))
+                if ids is None:
+                    plain.append(core)
+                else:
+                    known[core] = ids
             else:
                 plain.append(chunk)
         plain = list(set(plain))
-        known.update(zip(plain, self._ids([self.lead + c for c in plain] if self.lead else plain)))
-        for chunk, core, tail in split:
+        fresh = dict(zip(plain, self._ids([self.lead + c for c in plain] if self.lead else plain)))
+        known.update(fresh)
+        got.update(fresh)
+        for chunk, core, tail, met in split:
             if tail not in tails:
                 if len(tails) > 1000:
                     tails.clear()
                 tails[tail] = self._ids([tail])[0]
-            known[chunk] = known[core] + tails[tail]
+            got[chunk] = known[core] + tails[tail]
+            if met:
+                known[chunk] = got[chunk]
+        return got
 
     def _head(self, head: str) -> bytes:
         """A text's first chunk, which has no space before it."""
         ids = self.heads.get(head)
         if ids is None:
-            if len(self.heads) > 100_000:
+            if len(self.heads) > 20_000:
                 self.heads.clear()
             ids = self.heads[head] = self._ids([head])[0]
         return ids
@@ -85,10 +90,9 @@ class ChunkEncoder:
             new = {chunks[i] for i in lost}
             if len(new) > self.most or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
                 return self._ids([text])[0]
-            self._learn([*new])
-            known = self.known
+            learnt = self._learn([*new])
             for i in lost:
-                found[i] = known[chunks[i]]
+                found[i] = learnt[chunks[i]]
         return (self._head(head) if head else b"") + b"".join(found)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
