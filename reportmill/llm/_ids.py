@@ -20,7 +20,7 @@ class ChunkEncoder:
     chunks: when so many are known they become the older half, from which those still in use come back.
     """
 
-    def __init__(self, path: str, space_leads: bool, most: int = 600_000):
+    def __init__(self, path: str, space_leads: bool, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lead, self.most = Tokenizer.from_file(path), " " if space_leads else "", most
