@@ -63,7 +63,7 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_passages(_table(spark, sf_dir, "documents"))
+    return substrings.dedup_runs(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,17 @@
-"""Repeated passages, by hashing small units of lines.
+"""Repeated passages: every run of words that an earlier document holds, to its exact edges (``dedup_runs``).
 
-Units are parts of lines, so that a passage is found wherever it stands: a line is cut behind words that
+A text is its words, A-Z lower-cased; line ends and sentence ends are white space as any other. Each ``run_words`` words in a row are a window, and a
+word goes when a window over it is a repeat: an earlier document holds that window, or the same text does, before and not overlapping it. So any run of
+``run_words`` words or more that an earlier document holds goes from its first word to its last, wherever it starts and however short its lines and sentences are.
+
+Windows are compared in two steps. Of the ``seed_words``-grams of a window the least by hash is its seed; equal windows have equal seeds, so windows whose seed
+one document alone holds, once, are no repeats. Seeds (about a fifth of the words) are grouped first; then only windows
+with a shared seed are hashed whole, grouped and kept apart by their positions. Both groupings are map-side combined minimums; texts
+move twice, to meet their shared seeds and the positions of their repeats.
+
+Documents are ordered by ``doc_id``, null last; documents of one id (or null) among which alone a window is shared are ordered by their texts' hashes.
+
+``dedup_passages`` is the older, coarser rule over units of lines. Units are parts of lines, so that a passage is found wherever it stands: a line is cut behind words that
 end a sentence and behind anchor words (one in ``anchor`` by hash). Each cut depends on one word alone; a passage copied
 into the middle of another line is cut alike from its first cut on. A unit's words are lower-cased (A-Z) and its digest covers them
 joined by single spaces. Units of ``unit_words`` words or more are grouped by digest over all documents and the
@@ -163,11 +174,203 @@ def _dedup(docs: DataFrame, unit_words: int, run_words: int, anchor: int, carrie
     return c.map_batches(met, work, made + "".join(f", __{i} {kinds[f]}" for i, f in enumerate(carried)))
 
 
-def drop_repeats(docs: DataFrame, unit_words: int = 4, run_words: int = 16, anchor: int = 16) -> DataFrame:
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row."""
+    made, span = hashes, 1
+    while span < size:
+        step = min(span, size - span)
+        made = _mix(made[: len(made) - step] * np.uint64(0x9E3779B97F4A7C15) + made[step:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(span + step))
+        span += step
+    return made
+
+
+def _slide(x: np.ndarray, size: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of each ``size`` values in a row."""
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        x = least(x[: len(x) - step], x[step:])
+        span += step
+    return x
+
+
+class Windows:
+    """The windows of ``run_words`` words of several texts, as arrays over all their words in a row."""
+
+    def __init__(self, texts: list[str | None], run_words: int, seed_words: int):
+        self.run_words, digest = run_words, xxhash.xxh3_64_intdigest
+        words = [c.words_of(x) for x in texts]
+        self.sizes = np.array([*map(len, words)], np.int64)
+        n = int(self.sizes.sum())
+        hashes = np.fromiter((digest(w) for x in words for w in x), np.uint64, n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        at = np.arange(max(0, n - run_words + 1))
+        self.whole = self.text[at] == self.text[at + run_words - 1]  # windows within one text
+        if not len(at):
+            self.grams = self.seeds = self.hashes = np.empty(0, np.uint64)
+            return
+        self.grams = _grams(hashes, seed_words)
+        self.seeds = _slide(self.grams, run_words - seed_words + 1, np.minimum)  # each window's seed
+        self.hashes = _grams(hashes, run_words)
+
+    def owned(self, values: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """``values`` told apart by their texts."""
+        return _mix(values + _mix(texts.astype(np.uint64) + np.uint64(1)))
+
+    def distinct_seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, seed, again) of each text's distinct seeds; ``again``: it stands in two places."""
+        if not len(self.seeds):
+            return self.text[:0], self.seeds, self.whole[:0]
+        span = len(self.grams) - len(self.seeds)
+        # A gram is a seed when a window over it has no smaller one.
+        known = np.concatenate([np.zeros(span, np.uint64), np.where(self.whole, self.seeds, 0), np.zeros(span, np.uint64)])
+        at = np.flatnonzero(_slide(known, span + 1, np.maximum) == self.grams)
+        _, first, times = np.unique(self.owned(self.grams[at], self.text[at]), return_index=True, return_counts=True)
+        return self.text[at[first]], self.grams[at[first]], times > 1
+
+    def candidates(self, texts: np.ndarray, seeds: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, position, own) of the windows whose seeds are among their text's ``seeds``, which lack their last ``shift`` bits; ``own``: the text holds it before, not overlapping it."""
+        at = np.flatnonzero(self.whole)
+        at = at[np.isin(self.owned(self.seeds[at] >> np.uint64(shift), self.text[at]), self.owned(seeds, texts))]
+        text = self.text[at]
+        _, first, which = np.unique(self.owned(self.hashes[at], text), return_index=True, return_inverse=True)
+        return text, self.hashes[at], at - self.starts[text], at - at[first][which] >= self.run_words if len(at) else self.whole[:0]
+
+
+def _cut(df: DataFrame, label: str) -> DataFrame:
+    """``c.cut``; the shuffle files behind it go at once, as they may be as large as the texts."""
+    out = c.cut(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _free(df: DataFrame) -> None:
+    """Deletes a table that ``_cut`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What texts that share their id with no other text have in place of their hash.
+_UNTIED = 2**63 - 1
+
+
+def _text_keys(texts: list[str | None]) -> np.ndarray:
+    return np.array([-1 if x is None else _text_key(x) for x in texts], np.int64)
+
+
+def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8) -> DataFrame:
+    """(node, tie, gone): for each document with such windows, the numbers of the first words of those that go. ``node`` is the document's id or, for null,
+    its text's hash; ``tie`` is the text's hash where the id is null or has several texts."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            text, seed, again = Windows(batch.column(1).to_pylist(), run_words, seed_words).distinct_seeds()
+            times = np.where(again, 2, 1)
+            # Bits enough to tell most seeds apart: seeds that meet by chance only make more windows candidates.
+            yield [np.repeat(batch.column(0).to_numpy()[text], times), np.repeat((seed >> np.uint64(24)).view(np.int64), times)]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            known = batch.column("seeds")
+            owner = np.repeat(np.arange(len(texts)), known.value_lengths().to_numpy())
+            made = Windows(texts, run_words, seed_words)
+            text, digest, at, own = made.candidates(owner, known.flatten().to_numpy().view(np.uint64), 24)
+            ties = np.where(batch.column("tied").to_numpy(zero_copy_only=False), _text_keys(texts), _UNTIED)
+            yield [batch.column("rank").to_numpy()[text], batch.column("node").to_numpy()[text], ties[text], digest.view(np.int64), at, own]
+
+    named = _named(docs.where("text is not null").select("doc_id", "text"))
+    seeded = _cut(c.map_batches(named.select("node", "text"), seeds, "node long, digest long"), "seeds")
+    shared = seeded.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    sets = seeded.join(shared, "digest").groupBy("node").agg(F.collect_set("digest").alias("seeds"))
+    ids = docs.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    sets = sets.join(ids.where("a <> b").select(F.col("doc_id").alias("node"), F.lit(True).alias("many")), "node", "left")
+    met = named.join(sets, "node").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "node", (F.col("doc_id").isNull() | F.coalesce("many", F.lit(False))).alias("tied"), "text", "seeds")
+    held = _cut(c.map_batches(met, windows, "rank long, node long, tie long, digest long, at int, own boolean"), "windows")
+    _free(seeded)
+    others = held.where("not own")
+    first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0")).where(f"rank0 <> rank9 or tie0 <> {_UNTIED}")
+    later = (F.col("rank") > F.col("rank0")) | ((F.col("rank0") == F.col("rank9")) & (F.col("tie") > F.col("tie0")))
+    gone = others.select("digest", "rank", "node", "tie", "at").join(first, "digest").where(later).select("node", "tie", "at").unionByName(held.where("own").select("node", "tie", "at"))
+    out = _cut(gone.groupBy("node", "tie").agg(F.collect_set("at").alias("gone")), "gone")
+    _free(held)
+    return out
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """With ``node``, by which a document meets what was found for it; null ids are as many nodes as texts."""
+    return docs.withColumn("node", F.coalesce("doc_id", F.xxhash64("text")))
+
+
+def covered_runs(gone: list[int], run_words: int) -> list[tuple[int, int]]:
+    """(first, end) words of the runs that windows from the words ``gone`` on cover."""
+    at = np.sort(np.array(gone, np.int64))
+    cuts = np.flatnonzero(np.diff(at) > run_words) + 1
+    return [(int(x[0]), int(x[-1]) + run_words) for x in np.split(at, cuts) if len(x)]
+
+
+def dedup_runs(docs: DataFrame, run_words: int = 16, seed_words: int = 8) -> DataFrame:
+    """One row per document: doc_id, text (what stays), n_units (windows compared), n_words, removed_words, removed_spans ('from-to'
+    code point offsets into the original, comma-joined) and original_chars."""
+    return _dedup_runs(docs, run_words, seed_words, [])
+
+
+def _dedup_runs(docs: DataFrame, run_words: int, seed_words: int, carried: list[str]) -> DataFrame:
+    """With the columns in ``carried`` as ``__0``, ``__1`` and so on."""
+    gone = repeated_windows(docs, run_words, seed_words)
+    made = "doc_id long, text string, n_units long, n_words long, removed_words long, removed_spans string, original_chars long"
+    frame = docs.select("doc_id", "text", *[F.col(f).alias(f"__{i}") for i, f in enumerate(carried)])
+    lists = gone.groupBy("node").agg(F.collect_list(F.struct("tie", "gone")).alias("lists"))
+    met = _named(frame).join(lists, "node", "left").drop("node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            rows = []
+            for text, lists in zip(batch.column("text").to_pylist(), batch.column("lists").to_pylist()):
+                if text is None:
+                    rows.append((None, 0, 0, 0, "", 0))
+                    continue
+                n = len(c.words_of(text))
+                tie = _text_key(text) if lists else None
+                runs = covered_runs(next((x["gone"] for x in lists or () if x["tie"] in (_UNTIED, tie)), []), run_words)
+                stays, said = _without(text, runs)
+                rows.append((stays, max(0, n - run_words + 1), n, sum(b - a for a, b in runs), said, len(text)))
+            if rows:
+                yield [batch.column("doc_id"), *zip(*rows), *[batch.column(f"__{i}") for i in range(len(carried))]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return c.map_batches(met, work, made + "".join(f", __{i} {kinds[f]}" for i, f in enumerate(carried)))
+
+
+def _without(text: str, runs: list[tuple[int, int]]) -> tuple[str, str]:
+    """The text without runs of words (first, end), and their code point offsets."""
+    if not runs:
+        return text, ""
+    data = text.encode("utf-8", "surrogatepass")
+    spans = [(m.start(), m.end()) for m in _WORD.finditer(data)]
+    left, at, place, said = [], 0, 0, []
+    for a, b in runs:
+        begin, end = spans[a][0], spans[b - 1][1]
+        kept, cut = data[at:begin].decode("utf-8", "surrogatepass"), data[begin:end].decode("utf-8", "surrogatepass")
+        left.append(kept)
+        said.append(f"{place + len(kept)}-{place + len(kept) + len(cut)}")
+        at, place = end, place + len(kept) + len(cut)
+    return "".join([*left, data[at:].decode("utf-8", "surrogatepass")]), ",".join(said)
+
+
+def drop_repeats(docs: DataFrame, run_words: int = 16, seed_words: int = 8) -> DataFrame:
     """The documents, with their columns, without repeated passages; ``n_chars`` follows the text. A document of
     which nothing but white space stays is left out; one that had no words to begin with is kept."""
     carried = [x for x in docs.columns if x not in ("doc_id", "text")]
-    out = _dedup(docs, unit_words, run_words, anchor, carried).where("removed_words = 0 or removed_words < n_words")
+    out = _dedup_runs(docs, run_words, seed_words, carried).where("removed_words = 0 or removed_words < n_words")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {x: F.col(f"__{i}") for i, x in enumerate(carried)}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("removed_words") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)

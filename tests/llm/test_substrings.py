@@ -1,3 +1,5 @@
+import importlib
+
 import pytest
 
 from reportmill.llm import substrings as S
@@ -77,3 +79,68 @@ def test_stage_keeps_columns_and_clean_documents(spark):
 
 def test_empty_table(spark):
     assert S.dedup_passages(documents(spark, [])).count() == 0
+
+
+def brute_runs(rows, run_words=16):
+    """Words that each row loses, from a dictionary of all windows: what an earlier document holds, and what the text itself held before."""
+    words = {(2**63 - 1 if i is None else i, t): t.encode("utf-8", "surrogatepass").lower().split() for i, t, *_ in rows if t is not None}
+    holders = {}
+    for (rank, text), w in words.items():
+        for j in range(len(w) - run_words + 1):
+            holders.setdefault(tuple(w[j : j + run_words]), set()).add((rank, S._text_key(text)))
+    lost = {}
+    for (rank, text), w in words.items():
+        gone, seen = set(), {}
+        for j in range(len(w) - run_words + 1):
+            window = tuple(w[j : j + run_words])
+            held = holders[window]
+            earlier = min(held)[0] < rank or len({r for r, _ in held}) == 1 and min(held) < (rank, S._text_key(text))
+            if earlier or seen.setdefault(window, j) <= j - run_words:
+                gone.update(range(j, j + run_words))
+        lost[rank, text] = gone
+    return lost
+
+
+def check_runs(rows, got):
+    lost = brute_runs(rows)
+    want = []
+    for i, text, *_ in rows:
+        if text is None:
+            want.append((i, None, 0))
+        else:
+            gone = lost[2**63 - 1 if i is None else i, text]
+            want.append((i, [w for j, w in enumerate(text.encode("utf-8", "surrogatepass").split()) if j not in gone], len(gone)))
+    have = [(r.doc_id, None if r.text is None else r.text.encode("utf-8", "surrogatepass").split(), r.removed_words) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("clashes", [False, True])
+def test_odd_rows_lose_exact_runs(spark, clashes):
+    check_runs(ROWS, S.dedup_runs(documents(spark, clashes=clashes)).collect())
+
+
+def test_op9_removes_exact_runs_of_real_documents(spark, sf):
+    entry = importlib.import_module("__spark_entry__")
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = entry.queries()["op9_passages"](spark, sf).collect()
+    check_runs(rows, got)
+    assert sum(r.removed_words > 0 for r in got) > 5
+
+
+def test_passage_goes_to_its_edges(spark):
+    own = [" ".join(f"{i}é{j}" for j in range(60)) for i in range(4)]
+    rows = [(i, f"{own[i][: 40 + i]}x {PASSAGE} {own[i]}", "en", "s", 1) for i in range(4)]
+    got = {r.doc_id: r for r in S.dedup_runs(spark.createDataFrame(rows[::-1], SCHEMA)).collect()}
+    assert got[0].removed_words == 0 and got[0].text == rows[0][1]
+    for i in (1, 2, 3):
+        a, b = map(int, got[i].removed_spans.split("-"))
+        assert rows[i][1][a:b] == PASSAGE and got[i].removed_words == 80
+        assert rows[i][1][:a] + rows[i][1][b:] == got[i].text
+    assert {r.doc_id: r.text for r in S.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: r.text for i, r in got.items()}
+
+
+def test_null_ids_and_equal_ids_keep_one_copy(spark):
+    rows = [(None, f"{PASSAGE} own{n}", "", "", 1) for n in range(3)]
+    for some in (rows, [(5, *r[1:]) for r in rows]):
+        got = S.dedup_runs(spark.createDataFrame(some, SCHEMA)).collect()
+        assert sorted(r.removed_words for r in got) == [0, 80, 80]
