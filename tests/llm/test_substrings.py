@@ -144,3 +144,11 @@ def test_null_ids_and_equal_ids_keep_one_copy(spark):
     for some in (rows, [(5, *r[1:]) for r in rows]):
         got = S.dedup_runs(spark.createDataFrame(some, SCHEMA)).collect()
         assert sorted(r.removed_words for r in got) == [0, 80, 80]
+
+
+def test_short_lines_and_one_word_repeated_go_too(spark):
+    menu = "\n".join(f"item{i}{' of' * (i % 3)}" for i in range(60))
+    rows = [(1, f"first\n{menu}\nend", "", "", 1), (2, f"second {menu} last", "", "", 1), (3, "begin " + "same " * 90, "", "", 1), (4, "again " + "same " * 90 + "other", "", "", 1)]
+    got = {r.doc_id: r for r in S.dedup_runs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].removed_words == 0 and got[2].text.split() == ["second", "last"]
+    assert got[3].text.split() == ["begin"] + ["same"] * 16 and got[4].text.split() == ["again", "other"]
