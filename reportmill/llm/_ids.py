@@ -1,10 +1,12 @@
 """Token ids of whole texts by the tokenizers library, with the ids of repeated chunks kept.
 
-Both tokenizers used here split a text at white space, and between a letter or digit and the full stops
-or commas behind it, before they merge. So a text cut before each single space between two other
-characters, and each chunk cut before its last full stops or commas, yields parts that encode by
+Both tokenizers used here split a text at white space before they merge, and none of their normal forms reaches across a space. So
+a text cut before each single space between two other characters yields parts that encode by
 themselves as they do in place. A text of any other shape, such as two spaces in a row, is encoded whole.
-``tests/llm/test_tokens.py`` holds all this against whole texts.
+
+A chunk is cut once more, before its last full stops or commas, where the character before them is a letter or digit in ``_PLAIN``: there the tokenizers
+split, too. Beyond those, a letter's normal form may end in a mark that joins the stops (``\u0130`` becomes ``i`` and a combining dot), so such
+chunks are encoded as they are. ``tests/llm/test_tokens.py`` holds all this against whole texts, odd characters included.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ import functools
 from array import array
 
 
+#: Letters and digits up to U+024F whose lower case is one letter or digit: no mark is left at their end.
+_PLAIN = frozenset(x for x in map(chr, range(0x250)) if x.isalnum() and len(x.lower()) == 1)
+
+
 class ChunkEncoder:
     """``encode(text)`` gives the ids as unsigned 32-bit integers in the machine's order, in bytes.
 
@@ -41,7 +47,7 @@ class ChunkEncoder:
                 known[chunk] = got[chunk] = ids
                 continue
             core = chunk.rstrip(".,")
-            if len(core) < len(chunk) and core and core[-1].isalnum():
+            if len(core) < len(chunk) and core and core[-1] in _PLAIN:
                 ids = known.get(core) or older.get(core)
                 split.append((chunk, core, chunk[len(core) :], ids is not None))
                 if ids is None:

@@ -32,6 +32,18 @@ def test_chunks_encode_as_whole_texts(name, lead, spark, sf):
         assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+@pytest.mark.parametrize("name,lead", NAMES)
+def test_odd_characters_encode_as_whole_texts(name, lead):
+    """Random short texts of characters that normal forms, cases, marks, stops and special tokens make odd."""
+    encoder, plain = ChunkEncoder(tokenizer_path(name), lead, most=500), Tokenizer.from_file(tokenizer_path(name))
+    pool = [*"aAzZ09 .,  '’-\n\té", "İ", "ı", "ß", "ẞ", "Σ", "ς", "ŉ", "ǰ", "ΐ", "ﬁ", "\u0301", "\u0307", "\u0345", "\u200d", "\u00a0", "\u2028", "\u1680", "\x1c", "\x85", "\u212b", "\u1100", "\u1161", "\u11a8",
+            "각", "日", "١", "²", "Ⅷ", "①", "𝔸", "🙂", "क", "्", "א", "ְ", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "ALİ.", "x.", "\ufb1d", "\ua7cb", "\U00010d50"]
+    draw = np.random.default_rng(11)
+    texts = ["".join(pool[i] for i in draw.integers(0, len(pool), n)) for n in draw.integers(1, 12, 30_000)]
+    for text, e in zip(texts, plain.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == e.ids, repr(text)
+
+
 def test_best_fit_decreasing_is_brute_force():
     draw = np.random.default_rng(3)
     for window in (7, 64, 100):
