@@ -49,6 +49,33 @@ def test_expressions(text, postfix, labels, free):
     assert " ".join(got) == postfix and L.evaluate(got) == (labels, free)
 
 
+def test_identifiers_and_exceptions():
+    assert len(L.identifiers()) > 400
+    for name, label in {"gpl-2.0-or-later": "gpl", "lgpl-2.1+": "lgpl", "cc-by-nc-sa-4.0": "cc-by-nc-sa", "cc-by-4.0": "cc-by", "bsd-3-clause": "bsd", "bsd-9-odd": "bsd", "mit-0": "mit", "x-own": "x-own"}.items():
+        assert L.family(name) == label
+    assert L.evaluate(L.to_postfix("apache-2.0 with llvm-exception")) == ({"apache"}, True)
+    assert L.evaluate(L.to_postfix("apache-2.0 with own-terms")) == ({"apache"}, False)
+
+
+def test_phrases_joined_by_words(spark):
+    rows = [(1, "Under the MIT License or the GNU General Public License, or Apache License and GNU Affero General Public License.", "", "", 1), (2, "MIT license, or MIT License OR Apache License with BSD license x cc by sa and cc by", "", "", 1)]
+    a, b = sorted(L.scan_licenses(documents(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert (a.expressions, a.permissive) == ("gpl apache agpl and or", False)
+    assert (b.expressions, b.permissive) == ("mit mit or apache bsd with or; cc-by-sa cc-by and", False)
+
+
+def test_very_long_texts_take_time_in_proportion():
+    """Ten megabytes of nothing but places, and as many without any."""
+    import time
+
+    found_by = L.automaton((("mit license", "mit", True), ("cc by", "cc-by", True)))
+    began = time.process_time()
+    got = L.scan_text("mit license cc by " * 550_000, found_by)
+    assert got[:4] == (2_200_000, 1_100_000, 0, 2_199_998)
+    assert L.scan_text("commit licensee " * 650_000, found_by)[:2] == (1_300_000, 0)
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("text", ["", "and mit", "()", ") mit", "( or )", "* x"])
 def test_no_expression(text):
     assert L.to_postfix(text) == []
