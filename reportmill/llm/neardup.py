@@ -5,7 +5,7 @@
    ``bits/2 * (1 - (1 - 2/bits)^d)`` ones where d samples of either differ, which gives a precise estimate of high similarities.
 2. Equal sets collapse to one representative each, so copies cost one row however many there are.
 3. Representatives that share a band key form a bucket. Each is paired with the bucket's smallest member alone:
-   links are made in proportion to members, never to pairs of them.
+   links are made in proportion to members, never to pairs of them. A bucket or a smallest member with very many rows is dealt to several tasks (``salted_join``).
 4. Pairs whose sketches allow the threshold are confirmed on their full sets, built again from the texts of those
    documents only. A second parity bitmap, of the whole set, bounds each pair before that: the ones of two bitmaps' XOR are never more than
    the shingles in which the sets differ, and these are a ninth of both sizes at most where the similarity is 0.8. So it loses no link.
@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reportmill.llm import _common as c
 from reportmill.llm.components import components
@@ -110,6 +111,15 @@ class Sketcher:
         return min(self.bits, math.ceil(ones + sigmas * math.sqrt(self.bits) / 4))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _node(doc_id: int | None, digest: bytes) -> int:
+    """A document's id, or for a null id one beyond all ids, made of its set's digest."""
+    return (1 << 62) + (int.from_bytes(digest[:8], "little") >> 3) if doc_id is None else doc_id
+
+
 def fingerprints(docs: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
     """One row per document; ``node`` is its id, or for a null id one made of the set's digest."""
 
@@ -118,8 +128,8 @@ def fingerprints(docs: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, k)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                node = (1 << 62) + (int.from_bytes(digest[:8], "little") >> 3) if doc_id is None else doc_id
+                digest = _digest(s)
+                node = _node(doc_id, digest)
                 if len(s):
                     m = sketcher.samples(s)
                     rows.append((doc_id, node, len(s), digest, sketcher.band_keys(m), sketcher.odd(m), sketcher.parity(s)))
@@ -139,7 +149,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             rows = []
             for node, digest, text in zip(*(x.to_pylist() for x in batch.columns)):
                 s = shingle_set(text, k)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # a shared doc_id may have other texts
+                if _digest(s) == digest:  # a shared doc_id may have other texts
                     rows.append((node, s.view(np.int64)))
             if rows:
                 yield [*zip(*rows)]
@@ -150,7 +160,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of representatives with 100 * intersection >= percent * union of their full sets."""
+    """Pairs (u, v) of representatives with 100 * intersection >= percent * union of their full sets.
+
+    A pair takes the set of its v along to its u, which may be in very many pairs; that one's set is repeated once a salt."""
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = reps.select("node", "digest").join(ends, "node", "left_semi")
     # A shared doc_id may give a representative more than one row of the same set.
@@ -158,7 +170,8 @@ def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
-    met = pairs.join(left, "u").join(right, "v").withColumn("both", both)
+    hubs = pairs.groupBy("u").agg(F.count("*").alias("n"))
+    met = c.salted_join(pairs.join(right, "v"), left, "u", pairs.count(), counts=hubs).withColumn("both", both)
     return met.where(100 * F.col("both") >= percent * (F.size("s") + F.size("t") - F.col("both"))).select("u", "v")
 
 
@@ -190,7 +203,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketcher: Sk
 
     ``percent``: least similarity in hundredths. ``block``: members that meet at a time in step 5.
     """
-    sketcher = sketcher or Sketcher()
+    found = _classes(docs, k, percent, sketcher or Sketcher(), block).withColumn("component_id", F.when(F.col("root") < 1 << 62, F.col("root")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_equal")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, sketcher: Sketcher, block: int) -> DataFrame:
+    """(doc_id, node, n_shingles, root, n_equal): ``root`` is the smallest node of a document's class."""
     prints = c.cut(fingerprints(docs, k, sketcher), "prints")
     allow = _sketches_allow(sketcher, percent)
 
@@ -200,14 +218,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketcher: Sk
         prints.join(classes.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi").select("node", "digest", "n_shingles", "bands", "sketch", "parity"), "reps"
     )
     banded = reps.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot <> far").select("band", "pivot")
-    members = c.cut(banded.join(shared, "band"), "members")
+    shared = c.cut(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("far"), F.count("*").alias("n")).where("pivot <> far").select("band", "pivot", "n"), "shared")
+    n_members = shared.agg(F.sum("n")).first()[0] or 0
+    members = c.cut(c.salted_join(banded, shared.select("band", "pivot"), "band", n_members, counts=shared), "members")
 
     # 3. and 4. Stars around each bucket's smallest member.
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    stars = c.cut(members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "spokes")
     sketched = reps.select("node", "n_shingles", "sketch", "parity")
-    with_u = stars.join(sketched.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("sketch").alias("su"), F.col("parity").alias("pu")), "u")
-    with_both = with_u.join(sketched.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("sketch").alias("sv"), F.col("parity").alias("pv")), "v")
+    with_v = stars.join(sketched.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("sketch").alias("sv"), F.col("parity").alias("pv")), "v")
+    hubs = stars.groupBy("u").agg(F.count("*").alias("n"))
+    with_both = c.salted_join(with_v, sketched.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("sketch").alias("su"), F.col("parity").alias("pu")), "u", stars.count(), counts=hubs)
 
     def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,31 +242,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketcher: Sk
     united = components(links)
 
     # 5. Buckets that are still several classes.
-    labelled = members.join(united, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
-    torn = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("band")
-    torn_rows = c.cut(labelled.join(torn, "band", "left_semi"), "torn")
-    if torn_rows.limit(1).count():
-        found = c.cut(_meet(torn_rows, sketched, links.union(allowed).distinct(), allow, percent, block), "met")
+    labelled = c.cut(members.join(united, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    torn = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("band", "n")
+    torn = c.cut(torn, "torn-bands")
+    n_torn = torn.agg(F.sum("n")).first()[0] or 0
+    if n_torn:
+        torn_rows = c.cut(c.salted_join(labelled, torn.select("band"), "band", n_members, counts=torn), "torn")
+        found = c.cut(_meet(torn_rows, torn, n_torn, sketched, links.union(allowed).distinct(), allow, percent, block), "met")
         more = _confirm(docs, found, reps, k, percent)
         united = components(links.union(more))
 
-    component = F.coalesce("component", "rep", "node")
     out = prints.select("doc_id", "node", "n_shingles", "digest").join(classes, "digest", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.withColumn("component_id", F.when(component < 1 << 62, component))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"))
+    return out.select("doc_id", "node", "n_shingles", F.coalesce("component", "rep", "node").alias("root"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"))
 
 
-def _meet(torn: DataFrame, sketched: DataFrame, done: DataFrame, allow, percent: int, block: int) -> DataFrame:
+def _meet(torn: DataFrame, sizes: DataFrame, total: int, sketched: DataFrame, done: DataFrame, allow, percent: int, block: int) -> DataFrame:
     """Pairs of different classes in a torn bucket that the sketches allow and that were not met before.
 
-    The members outside the largest class (the strays) meet every member. Both are dealt in blocks of
+    ``sizes``: (band, n), ``total`` their sum. The members outside the largest class (the strays) meet every member. Both are dealt in blocks of
     ``block`` rows, so what one task holds is bounded whatever the bucket's size.
     """
-    sizes = torn.groupBy("band", "label").count()
-    largest = sizes.groupBy("band").agg(F.max(F.struct("count", "label")).alias("top"))
-    rows = torn.join(largest.select("band", F.col("top.label").alias("main"), F.col("top.count").alias("n_main")), "band").join(sketched, "node")
-    total = torn.groupBy("band").agg(F.count("*").alias("n"))
-    rows = rows.join(total, "band")
+    labels = torn.groupBy("band", "label").count()
+    largest = labels.groupBy("band").agg(F.max(F.struct("count", "label")).alias("top")).select("band", F.col("top.label").alias("main"))
+    rows = c.salted_join(torn, largest.join(sizes, "band"), "band", total, counts=sizes).join(sketched, "node")
     blocks = F.floor((F.col("n") + block - 1) / block).cast("int")
     number = F.pmod(F.xxhash64("node", "band"), blocks)
     held = rows.withColumn("part", number).groupBy("band", "part").agg(F.collect_list(F.struct("node", "label", "n_shingles", "sketch", "parity")).alias("held"))
@@ -276,9 +294,37 @@ def _meet(torn: DataFrame, sketched: DataFrame, done: DataFrame, allow, percent:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their columns, of which each class's smallest id stays. Rows that repeat a kept document are dropped too."""
-    marked = near_duplicates(docs, k, percent)
-    kept = c.cut(marked.where("kept"), "kept").groupBy("doc_id").agg(F.count("*").alias("times")).withColumnRenamed("doc_id", "kept_id")
+    """The documents, with their columns, of which each class's smallest id stays. Rows that repeat a kept document are dropped too.
+
+    Of a class without any id one row stays: a null id's document is told by its set, and met by that."""
+    marked = c.cut(_classes(docs, k, percent, Sketcher(), 128).where("node = root").select("doc_id", "node"), "kept")
+    nameless = marked.where("doc_id is null").select("node").distinct()
+    if nameless.limit(1).count():
+        named = drop_named(docs.where("doc_id is not null"), marked.where("doc_id is not null"))
+        return named.unionByName(_first_of_sets(docs.where("doc_id is null"), nameless, k))
+    return drop_named(docs, marked)
+
+
+def _first_of_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Of the documents without an id, one for each node in ``nodes``, and all without words."""
+    # Its columns may have any names, so the node comes last and is known by its place.
+    names = docs.columns
+    shape = StructType([*docs.schema.fields, StructField("__node", LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column(at).to_pylist()]
+            made = [_node(None, _digest(x)) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*names, "__node"])
+
+    told = docs.mapInArrow(work, shape)
+    met = told.join(nodes.withColumnRenamed("node", "__kept"), F.col("__node") == F.col("__kept"), "left_semi").dropDuplicates(["__node"])
+    return met.unionByName(told.where("__node is null")).select(*names)  # without words a document is like no other
+
+
+def drop_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    kept = marked.groupBy("doc_id").agg(F.count("*").alias("times")).withColumnRenamed("doc_id", "kept_id")
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "inner").select(*[docs[x] for x in docs.columns], kept["times"].alias("__times"))
     if not kept.where("times > 1").limit(1).count():
         return joined.drop("__times")

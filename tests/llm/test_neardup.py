@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from reportmill.llm import _common as c
 from reportmill.llm import neardup
 from reportmill.llm.components import components
 from tests.llm.odd import ROWS, documents
@@ -84,6 +85,22 @@ def test_one_of_each_group_stays(spark):
     assert sorted(x for x in ids if x) == [1, 4, 5, 6, 7, 9, 10, 2**53 + 1]
 
 
+def test_one_of_each_group_without_ids_stays(spark):
+    near = ROWS[0][1].replace("w7 ", "v7 ")
+    rows = [(None, ROWS[0][1], "en", "a", 1), (None, near, "en", "a", 1), (None, ROWS[0][1], "fr", "a", 1), (None, "", "en", "a", 1), (None, None, "en", "a", 1), (None, "all alone here now", "en", "a", 1), (5, "all by itself there then", "en", "a", 1)]
+    got = neardup.drop_near_duplicates(documents(spark, rows, True), k=5).collect()
+    assert sorted(str(r.text)[:3] for r in got) == ["", "None"[:3], "all", "all", "w0 "]
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """A join whose key holds most rows gives what a plain join gives."""
+    rows = spark.range(5000).selectExpr("case when id % 3 = 0 then null when id % 5 < 4 then 7 else id % 11 end as k", "id as v")
+    side = spark.range(11).selectExpr("id as k", "id * 10 as w")
+    for how in ("inner", "left"):
+        got, want = c.salted_join(rows, side, "k", 5000, how, least=100), rows.join(side, "k", how)
+        assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, want.select("k", "v", "w").collect()))
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
     assert neardup.drop_near_duplicates(documents(spark, [])).count() == 0
