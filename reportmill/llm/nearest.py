@@ -1,22 +1,29 @@
 """Approximate nearest neighbours by balanced posting lists, nearness by cosine.
 
-Fit (on the driver, from a sample of at most ``sample_rows`` vectors chosen by hash): the sample is split again and again by
+Fit (on the driver, from a sample chosen by hash): the sample is split again and again by
 2-means with equal halves until pieces are small, so lists come out balanced; each piece's mean direction is a centroid. The centroids are joined to a
-graph of near neighbours with a few far links. The number of centroids is at most ``most_lists``, which bounds what is sent to tasks.
+graph of near neighbours with a few far links. There is a list for each ``list_rows`` vectors, so lists stay as long as the table grows, up to ``most_lists``,
+which bounds what is sent to tasks; the sample has four vectors a list, and ``sample_rows`` at least.
 
 Index: every vector goes to the list of its nearest centroid; a boundary vector, whose next centroids are within ``1 + reach`` of the
-nearest distance and not nearer to a chosen centroid than to itself, is replicated to those as well, ``replicas`` lists at most.
+nearest distance and not nearer to a chosen centroid than to itself, is replicated to those as well.
 
 Search: a best-first walk through the centroid graph finds the centroids near a query; those whose distance is within a ratio of the
-nearest one's are searched. The ratio is fitted with the index: the one that reaches ``recall`` of the true neighbours within the sample. Lists
-are read in parts of at most ``part_rows`` vectors, and queries join parts by key; nothing is compared outside a searched list. Distances are exact, on the
+nearest one's are searched. Ratio and most replicas are fitted with the index: those that reach ``recall`` of the true neighbours within the sample by
+reading the fewest vectors. Lists are read in parts of at most ``part_rows`` vectors, and queries join parts by key; nothing is compared outside a searched list. Distances are exact, on the
 original vectors in double precision.
 
+Vectors are nearest among those of their own length. Each of the ``most_lengths`` commonest lengths has centroids of its own; vectors of any other are one list,
+read in parts, which is exact.
+
 Equal vectors are kept once, with their ``k + 1`` smallest ids: no others can be among the ``k`` nearest of anything, as ties go to
 smaller ids. A map-side limit sees to it that a vector with very many copies is no hot spot.
 
-Rows: vectors that are null, zero or hold null or non-finite components take no part, nor do those of a length other than the commonest, nor rows
-with a null id; a repeated id takes part with each of its vectors, and counts once, at its best; ``label`` and other columns are not read; without vectors there are no rows.
+Vectors without any structure (independent random directions) are a hard case for any such index: a query's neighbours lie in most lists, so
+reaching ``recall`` means reading a large share of the vectors, and time grows with queries times vectors.
+
+Rows: vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+with a null id; a repeated id takes part, and asks, with each of its vectors, and counts once, at its best; ``label`` and other columns are not read; without vectors there are no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,43 +96,39 @@ class Lists:
     ratio: float = 2.0
     beam: int = 32
 
-    def near(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of about the ``beam`` nearest of each query, nearest first: walks all queries through the graph at once."""
+    def near(self, queries: np.ndarray, beam: int, wide: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) of about the ``beam`` nearest of each query, nearest first; -1 where there are fewer. All queries walk through
+        the graph at once; each step follows the links of the ``wide`` nearest centroids that a query hasn't followed yet."""
         n, q = len(self.centroids), len(queries)
         beam = min(beam, n)
-        if 2 * beam >= n:  # the walk would see them all
-            d = np.sqrt(np.maximum(0, 2 - 2 * queries @ self.centroids.T))
-            at = np.argsort(d, axis=1, kind="stable")[:, :beam]
-            return at, np.take_along_axis(d, at, axis=1)
         rows = np.arange(q)[:, None]
-        start = np.unique(np.linspace(0, n - 1, min(n, beam, 16)).astype(np.int64))
+        start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
         seen = np.zeros((q, n), bool)
         seen[:, start] = True
         at = np.broadcast_to(start, (q, len(start))).copy()
         d = 2 - 2 * queries @ self.centroids[start].T
         done = np.zeros(at.shape, bool)
         while not done.all():
-            pick = np.argmin(np.where(done, np.inf, d), axis=1)
-            busy = ~done.all(axis=1)
-            done[busy, pick[busy]] = True
-            new = self.graph[at[rows[:, 0], pick]].astype(np.int64)
-            fresh = ~seen[rows, new] & busy[:, None]
-            seen[rows, new] |= busy[:, None]
-            # a neighbour listed twice is fresh once
-            order = np.sort(np.where(fresh, new, -1), axis=1)
-            twice = np.concatenate([np.zeros((q, 1), bool), order[:, 1:] == order[:, :-1]], axis=1)
-            order[twice] = -1
-            dn = 2 - 2 * np.einsum("qd,qkd->qk", queries, self.centroids[order])
-            dn[order < 0] = np.inf
-            at, d = np.concatenate([at, order], axis=1), np.concatenate([d, dn], axis=1)
-            done = np.concatenate([done, order < 0], axis=1)
+            pick = np.argsort(np.where(done, np.inf, d), axis=1, kind="stable")[:, :wide]
+            busy = ~np.take_along_axis(done, pick, axis=1)
+            np.put_along_axis(done, pick, True, axis=1)
+            new = np.where(busy[:, :, None], self.graph[np.take_along_axis(at, pick, axis=1)], -1).reshape(q, -1)
+            new.sort(axis=1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = -1  # linked from two sides
+            new[seen[rows, new]] = -1
+            some = (new >= 0).sum(axis=1).max(initial=0)
+            new = -np.sort(-new, axis=1)[:, :some].astype(np.int64)
+            fresh = new >= 0
+            seen[np.nonzero(fresh)[0], new[fresh]] = True
+            dn = 2 - 2 * np.einsum("qd,qkd->qk", queries, self.centroids[new])
+            dn[~fresh] = np.inf
+            at, d, done = np.concatenate([at, new], axis=1), np.concatenate([d, dn], axis=1), np.concatenate([done, ~fresh], axis=1)
             if d.shape[1] > beam:
                 keep = np.argpartition(d, beam - 1, axis=1)[:, :beam]
                 at, d, done = (np.take_along_axis(x, keep, axis=1) for x in (at, d, done))
-                done |= ~np.isfinite(d)
         order = np.argsort(d, axis=1, kind="stable")
         d = np.take_along_axis(d, order, axis=1)
-        return np.take_along_axis(at, order, axis=1), np.sqrt(np.maximum(d, 0))
+        return np.where(np.isfinite(d), np.take_along_axis(at, order, axis=1), -1), np.sqrt(np.maximum(d, 0))
 
     def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list): each vector's nearest list, and those that its boundary reaches."""
@@ -134,7 +136,7 @@ class Lists:
         chosen = np.zeros(at.shape, bool)
         chosen[:, 0] = True
         for j in range(1, at.shape[1]):
-            ok = np.isfinite(d[:, j]) & (d[:, j] <= (1 + self.reach) * d[:, 0]) & (chosen.sum(axis=1) < self.replicas)
+            ok = np.isfinite(d[:, j]) & (at[:, j] >= 0) & (d[:, j] <= (1 + self.reach) * d[:, 0]) & (chosen.sum(axis=1) < self.replicas)
             if not ok.any():
                 break
             mine = self.centroids[np.maximum(at[:, j], 0)]
@@ -151,8 +153,8 @@ class Lists:
         return np.nonzero(fits)[0], at[fits]
 
 
-def fit(sample: np.ndarray, total: int, list_rows: int = 250, most_lists: int = 4096, k: int = 5, recall: float = 0.98, seed: int = 1) -> Lists:
-    """Fits centroids, graph and ratio on a sample of unit vectors of a table of ``total``."""
+def fit(sample: np.ndarray, total: int, list_rows: int = 250, most_lists: int = 1 << 16, k: int = 5, recall: float = 0.98, seed: int = 1) -> Lists:
+    """Fits centroids, graph, replicas and ratio on a sample of unit vectors of a table of ``total``."""
     wanted = max(1, min(most_lists, total // list_rows, len(sample) // 4 or 1))
     centroids = balanced_centroids(sample, wanted, seed)
     lists = Lists(centroids, centroid_graph(centroids))
@@ -161,101 +163,143 @@ def fit(sample: np.ndarray, total: int, list_rows: int = 250, most_lists: int =
     some = draw.choice(len(sample), min(400, len(sample)), replace=False)
     like = sample[some] @ sample.T
     like[np.arange(len(some)), some] = -2
-    true = np.argpartition(-like, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)] if len(sample) > 1 else np.empty((len(some), 0), int)
-    if n == 1 or not true.size:
+    few = min(k, len(sample) - 1)
+    if n == 1 or not few:
         return lists
-    at, d = lists.near(sample[some], n)
-    place = np.empty((len(some), n), np.int64)
-    np.put_along_axis(place, at, np.broadcast_to(np.arange(n), at.shape), axis=1)
-    owner, home = lists.homes(sample[np.unique(true)])
-    where = {v: [] for v in np.unique(true)}
-    for v, h in zip(np.unique(true)[owner], home):
-        where[v].append(h)
-    needed = [min(place[i, h] for h in where[v]) for i in range(len(some)) for v in true[i]]
-    ratios = [d[i, p] / max(d[i, 0], 1e-9) for i, p in zip(np.repeat(np.arange(len(some)), true.shape[1]), needed)]
-    lists.ratio = float(np.quantile(ratios, recall)) + 1e-6
-    counts = (d <= lists.ratio * d[:, :1]).sum(axis=1)
-    lists.beam = int(min(n, max(32, 1.5 * counts.max())))
+    true = np.argpartition(-like, few - 1, axis=1)[:, :few]
+    d = np.sqrt(np.maximum(0, 2 - 2 * sample[some] @ centroids.T))  # to every centroid: how far the lists of the true ones are
+    wanted_by, found = np.repeat(np.arange(len(some)), few), np.unique(true)
+    spread = sample[draw.choice(len(sample), min(2000, len(sample)), replace=False)]  # stands for all vectors
+    best = None
+    for replicas in (2, 4, 8):
+        lists.replicas = replicas
+        owner, home = lists.homes(sample[found])
+        reached = np.full((len(found), n), False)
+        reached[owner, home] = True
+        at = np.searchsorted(found, true.ravel())
+        nearest_home = np.where(reached[at], d[wanted_by], np.inf).min(axis=1)
+        ratio = float(np.quantile(nearest_home / np.maximum(d[wanted_by].min(axis=1), 1e-9), recall)) + 1e-6
+        size = np.bincount(lists.homes(spread)[1], minlength=n)
+        chosen = d <= ratio * d.min(axis=1, keepdims=True)
+        cost = float((chosen @ size).mean())
+        if best is None or cost < best[0]:
+            best = cost, replicas, ratio, int(chosen.sum(axis=1).max())
+    _, lists.replicas, lists.ratio, most = best
+    lists.beam = int(min(n, max(32, 1.5 * most)))
     return lists
 
 
 def _vectors(table: DataFrame) -> DataFrame:
     good = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.coalesce(good, F.lit(False)))
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (common[0]["n"] if common else 0))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
-def nearest(table: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = 20_000, list_rows: int = 250, most_lists: int = 4096, part_rows: int = 20_000, recall: float = 0.98) -> DataFrame:
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.coalesce(good, F.lit(False)))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _by_length(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, rows) of the vectors of each length, some at a time."""
+    sizes = column.value_lengths().to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        for i in range(0, len(at), rows):
+            yield int(size), at[i : i + rows]
+
+
+def nearest_in(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, offsets: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the ``k`` nearest ids of each query among ``vectors``, whose ids are ``ids[offsets[i]:offsets[i + 1]]``; never a query's ``own``."""
+    q1, v1 = unit64(queries), unit64(vectors)
+    left, most, found = np.arange(len(queries)), min(len(vectors), k + 1), []
+    while len(left):
+        like = q1[left] @ v1.T
+        floor = np.partition(like, len(vectors) - most, axis=1)[:, len(vectors) - most]
+        which, near = np.nonzero(like >= floor[:, None] - 1e-12)  # ties at the end come along
+        score = _cosines(queries[left[which]], vectors[near])
+        times = offsets[near + 1] - offsets[near]
+        into = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(offsets[near], times)
+        query, one, score = np.repeat(left[which], times), ids[into], np.repeat(score, times)
+        other = one != own[query]
+        query, one, score = query[other], one[other], score[other]
+        order = np.lexsort((-score, one, query))  # an id counts at its best
+        query, one, score = query[order], one[order], score[order]
+        first = np.r_[True, (query[1:] != query[:-1]) | (one[1:] != one[:-1])] if len(query) else np.empty(0, bool)
+        query, one, score = query[first], one[first], score[first]
+        # Ids with several vectors may leave a query with fewer than k: it looks further.
+        short = np.bincount(query, minlength=len(queries))[left] < k
+        again = left[short] if most < len(vectors) else left[:0]
+        keep = ~np.isin(query, again)
+        query, one, score = query[keep], one[keep], score[keep]
+        order = np.lexsort((one, -score, query))
+        query, one, score = query[order], one[order], score[order]
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        found.append((query[rank < k], one[rank < k], score[rank < k]))
+        left, most = again, min(len(vectors), 4 * most)
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+
+
+def nearest(
+    table: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = 20_000, list_rows: int = 250, most_lists: int = 1 << 16, part_rows: int = 20_000, recall: float = 0.98, most_lengths: int = 8
+) -> DataFrame:
     """The ``k`` nearest rows of ``table`` (vec_id, embedding) of each row of ``queries`` (likewise), without the query's own id:
     query_id, rank, vec_id, score. Queries of equal id and vector count once."""
-    vectors = _vectors(table)
-    first = Window.partitionBy("vector").orderBy("vec_id")
+    spark = table.sparkSession
+    # The hash comes first in every comparison of vectors, so few are compared component by component.
+    vectors = _vectors(table).withColumn("h", F.xxhash64("vector"))
+    first = Window.partitionBy("h", "vector").orderBy("vec_id")
     few = vectors.distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n")
-    classes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = c.cut(classes, "classes")
-    total = classes.count()
+    classes = c.cut(few.groupBy("h", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     asked = c.cut(_vectors(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "queries")
-    none = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return table.sparkSession.createDataFrame([], none)
-    drawn = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).collect()
-    lists = fit(unit(np.array([r["vector"] for r in drawn])), total, list_rows, most_lists, k, recall)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                owner, home = lists.homes(unit(_matrix(part.column(0))))
-                take = pa.array(owner)
-                yield [home.astype(np.int32), part.column(0).take(take), part.column(1).take(take)]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                owner, home = lists.searched(unit(_matrix(part.column(1))))
-                take = pa.array(owner)
-                yield [home.astype(np.int32), part.column(0).take(take), part.column(1).take(take)]
-
-    spread = c.part_count(table.sparkSession)
-    postings = c.cut(c.map_batches(classes.select("vector", "ids"), place, "list int, vector array<double>, ids array<long>"), "postings")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    # One row per list, of which there are at most most_lists.
-    sizes = F.broadcast(sizes)
-    held = postings.join(sizes, "list").select("list", F.pmod(F.xxhash64("ids"), "parts").cast("int").alias("part"), "vector", "ids")
-    searches = c.map_batches(asked.repartition(spread), ask, "list int, query_id long, query array<double>")
-    searches = searches.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "query")
-
-    def score(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty((0, 3))]
+    lengths = classes.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").limit(most_lengths).collect()
+    found_by: dict[int, Lists] = {}
+    for length, total in lengths:
+        # most_lists bounds the sample as well: four vectors a list.
+        rows = max(sample_rows, 4 * min(most_lists, total // list_rows))
+        drawn = classes.where(F.size("vector") == length).select("h", "vector").orderBy("h", "vector").limit(rows).select("vector").toArrow()
+        found_by[length] = fit(unit(_matrix(drawn.column(0))), total, list_rows, most_lists, k, recall)
+
+    def dealt(column: str, others: list[str], how: str):
+        """Rows by the lists that ``how`` names for their vector; those of a rare length by list 0 of that length."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+            for batch in batches:
+                vectors = batch.column(column)
+                for length, at in _by_length(vectors):
+                    part = vectors.take(pa.array(at))
+                    owner, home = getattr(found_by[length], how)(unit(_matrix(part))) if length in found_by else (np.arange(len(at)), np.zeros(len(at), np.int64))
+                    take = pa.array(at[owner])
+                    yield [np.full(len(owner), length, np.int32), home.astype(np.int32), vectors.take(take), *[batch.column(x).take(take) for x in others]]
+
+        return work
+
+    postings = c.cut(c.map_batches(classes.select("vector", "ids"), dealt("vector", ["ids"], "homes"), "length int, list int, vector array<double>, ids array<long>"), "postings")
+    # A row for each list; joined by whatever way its size allows.
+    sizes = c.cut(postings.groupBy("length", "list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")), "sizes")
+    key = ["length", "list"]
+    held = postings.join(sizes, key).select(*key, F.pmod(F.xxhash64("ids"), "parts").cast("int").alias("part"), "vector", "ids")
+    searches = c.map_batches(asked.repartition(c.part_count(spark)), dealt("query", ["query_id"], "searched"), "length int, list int, query array<double>, query_id long")
+    searches = searches.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "query")
+
+    def score(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        parts = []
         if len(rows) and len(wanted):
-            v = np.stack(rows["vector"].to_numpy())
-            q = np.stack(wanted["query"].to_numpy())
-            v1, q1 = unit64(v), unit64(q)
-            # A class may hold the query itself, so one more than k.
-            most = min(len(v), k + 1)
-            for i in range(0, len(q), 256):
-                like = q1[i : i + 256] @ v1.T
-                top = np.argpartition(-like, most - 1, axis=1)[:, :most]
-                floor = np.take_along_axis(like, top, axis=1).min(axis=1) - 1e-12
-                for j in range(len(top)):
-                    near = np.flatnonzero(like[j] >= floor[j])  # ties at the end come along
-                    exact = cosines(q[i + j], v[near])
-                    own = wanted["query_id"].iat[i + j]
-                    found = [(own, x, s) for n, s in zip(near, exact) for x in rows["ids"].iat[n] if x != own]
-                    found.sort(key=lambda f: (-f[2], f[1]))
-                    if found:
-                        out.append(found[: 2 * k])
-        flat = [f for part in out for f in part]
-        return pd.DataFrame(flat, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = held.groupBy("list", "part").cogroup(searches.groupBy("list", "part")).applyInPandas(score, "query_id long, vec_id long, score double")
+            v, ids = _matrix(rows.column("vector")), rows.column("ids").combine_chunks()
+            offsets, flat = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())], ids.flatten().to_numpy()
+            step = max(16, (1 << 22) // len(rows))  # so many likenesses at a time
+            for i in range(0, len(wanted), step):
+                some = wanted.slice(i, step)
+                own = some.column("query_id").to_numpy()
+                at, found, likeness = nearest_in(_matrix(some.column("query")), own, v, offsets, flat, k)
+                parts.append((own[at], found, likeness))
+        columns = [np.concatenate([p[j] for p in parts]) if parts else [] for j in range(3)]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    by = [*key, "part"]
+    found = held.groupBy(*by).cogroup(searches.groupBy(*by)).applyInArrow(score, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -266,7 +310,12 @@ def unit64(vectors: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
 
 
+def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosines of each query and the vector in its row, in double precision; each by the same sums whatever the others are, scaled by the largest component."""
+    q, v = (x / np.abs(x).max(axis=1, keepdims=True) for x in (queries, vectors))
+    return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+
+
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each by the same sums whatever the other vectors are; scaled by the largest component."""
-    q, v = query / np.abs(query).max(), vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
+    """Cosines of one query and several vectors."""
+    return _cosines(np.broadcast_to(query, vectors.shape), vectors)
