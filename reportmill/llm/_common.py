@@ -71,7 +71,7 @@ def table_files(df: DataFrame) -> list[str]:
 def file_count(df: DataFrame, bytes_each: int) -> int:
     """Into how many files the rows of ``df`` go: one for each ``bytes_each`` of what Spark takes its size to be, and one for each
     shuffle partition at least. So a file's size stays the same as the data grow."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = n < 1 << 60  # a plan without statistics counts as endless
     return max(part_count(df.sparkSession), -(-n // bytes_each) if known else 1)
 

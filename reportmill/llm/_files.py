@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 
 
@@ -12,6 +14,13 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
+def read_table(uri: str) -> pa.Table:
+    """One Parquet file of a table that the engine wrote itself."""
+    store, path = open_store(uri)
+    with store.open_input_file(path) as f:
+        return pq.read_table(f)
+
+
 def attempt_name(prefix: str, suffix: str) -> str:
     """A file name of one task attempt. Only the names that successful attempts return enter a
     manifest, so the leavings of a lost or repeated attempt are never read."""

@@ -39,9 +39,9 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = c.scratch(spark, "captures")
-    index = warc.write_index(warc.write_archives(_table(spark, sf_dir, "pages"), folder), folder)
-    return warc.read_all(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, folder = _table(spark, sf_dir, "pages"), c.scratch(spark, "captures")
+    index = warc.write_index(warc.write_archives(pages, folder), folder)
+    return warc.lookup(index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,9 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sstable.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), c.scratch(spark, "token-shards"))
-    return sstable.read_shards(shards)
+    docs = _table(spark, sf_dir, "documents")
+    shards = sstable.write_shards(docs, tokenizer_path("byte_bpe_50k.json"), c.scratch(spark, "token-shards"))
+    return sstable.lookup_digests(shards, docs)
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ that number the rows of one id; a null id has 0x00 in front. Keys sort as ids do
 first key, offset, length, entry count and running token count of each block, so one document costs a binary search and one
 range read. The Bloom filter spares that read for most absent ids.
 
-Shards are ranges of ``doc_id``. Texts move once, to their shard; they are encoded there and their blocks are streamed out, so a task holds a
-block at a time. Only the shard list (a row per file) leaves the tasks. Files of lost attempts are never listed.
+Shards are ranges of ``doc_id``, as many as the size of the texts asks for, so a shard, its index and its filter stay as large as the data grow. Texts move once, to their shard; they are encoded there and their blocks are streamed out, so a task holds a
+block at a time, and the index and hashes of its shard. Only the shard list (a row per file, written as a table) leaves the tasks, and only tasks read it. Files of lost attempts are never listed.
 """
 
 from __future__ import annotations
@@ -125,6 +125,7 @@ class ShardReader:
         self.blocks = [*_INDEX.iter_unpack(reader.read(path, at, length))]
         self.firsts = [b[0] for b in self.blocks]
         self._bloom: bytes | None = None
+        self._held: tuple[int, list] = (-1, [])
 
     def block(self, n: int) -> Iterator[tuple[bytes, np.ndarray]]:
         """(key, ids) of one block's entries."""
@@ -143,27 +144,65 @@ class ShardReader:
             self._bloom = self.reader.read(self.path, self.bloom_at, self.bloom_length)
         return all(self._bloom[b >> 3] >> (b & 7) & 1 for b in bloom_bits(key_of(doc_id), self.bits))
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
-        """The ids of every row of one document: filter, then binary search, then one or two range reads."""
-        found: list[np.ndarray] = []
+    def _block_from(self, n: int) -> list[tuple[bytes, int, np.ndarray]]:
+        """(key, ids before it in the shard, ids) of one block; the last one read is kept, as sorted ids ask for it again."""
+        if self._held[0] != n:
+            rows, at = [], self.blocks[n][4]
+            for key, ids in self.block(n):
+                rows.append((key, at, ids))
+                at += len(ids)
+            self._held = n, rows
+        return self._held[1]
+
+    def find(self, doc_id: int | None) -> list[tuple[int, np.ndarray]]:
+        """(ids before it in the shard, ids) of every row of one document: filter, then binary search, then one or two range reads."""
+        found: list[tuple[int, np.ndarray]] = []
         if not self.blocks or not self.may_hold(doc_id):
             return found
         want = key_of(doc_id)
         n = max(0, bisect.bisect_right(self.firsts, want) - 1)
         while n < len(self.blocks) and self.firsts[n][:9] <= want[:9]:
-            found += [ids for key, ids in self.block(n) if key[:9] == want[:9]]
+            rows = self._block_from(n)
+            i = bisect.bisect_left(rows, want, key=lambda x: x[0])
+            while i < len(rows) and rows[i][0][:9] == want[:9]:
+                found.append(rows[i][1:])
+                i += 1
+            n += 1
+        return found
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        return [ids for _, ids in self.find(doc_id)]
+
+
+class ShardList:
+    """The shard list, as a task reads it: ranges of keys and the ids before each shard."""
+
+    def __init__(self, listed: list[str], reader: files.RangeReader):
+        self.rows = sorted((x for f in listed for x in files.read_table(f).to_pylist()), key=lambda x: x["part"])
+        self.lasts, self.reader, self.open = [x["last_key"] for x in self.rows], reader, (None, None)
+        self.before = np.cumsum([0] + [x["tokens"] for x in self.rows]).tolist()
+
+    def find(self, doc_id: int | None) -> list[tuple[int, np.ndarray]]:
+        """(ids of all documents before it, ids) of every row of one document, from the one or few shards that can hold it."""
+        want, found = key_of(doc_id), []
+        n = bisect.bisect_left(self.lasts, want)
+        while n < len(self.rows) and self.rows[n]["first_key"][:9] <= want[:9]:
+            path = self.rows[n]["path"]
+            if self.open[0] != path:
+                self.open = path, ShardReader(path, self.reader)
+            found += [(self.before[n] + at, ids) for at, ids in self.open[1].find(doc_id)]
             n += 1
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, space_leads: bool = True, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, space_leads: bool = True, shards: int | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
     """Encodes whole texts and writes the shards under ``path``; returns the shard list, in order of ids.
 
     Null or empty text has the end id alone. Rows with one ``doc_id`` are numbered in order of their
     text, so equal rows come out equal whatever their order. An empty table makes no shard.
     """
     spark = docs.sparkSession
-    n = shards or c.part_count(spark)
+    n = shards or c.file_count(docs, shard_bytes)
     # The hash spreads one id that has very many rows over its neighbours' ranges; they stay sorted by id.
     dealt = c.pick(docs, "doc_id", "text").withColumn("salt", F.xxhash64("text"))
     dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt")
@@ -216,24 +255,37 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return c.map_batches(listed, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
-    """Token ids of the documents in ``ids`` (a column doc_id): doc_id, ids. Shards are chosen by key
-    range, then each is read through its filter and sparse index alone."""
-    encoded = F.udf(lambda d: key_of(d), "binary")
-    wanted = ids.select("doc_id").distinct().withColumn("key", encoded("doc_id"))
-    # A shard list has a row per file; a range join on it is bounded by wanted ids times the one or two shards that may hold each.
-    hits = wanted.join(F.broadcast(manifest.select("path", "first_key", "last_key")), (F.substring("first_key", 1, 9) <= F.substring("key", 1, 9)) & (F.col("last_key") >= F.col("key")))
+def _fetch(manifest: DataFrame, ids: DataFrame, ddl: str, made) -> DataFrame:
+    """Rows made of each found (doc_id, start, ids); wanted ids are sorted first, so a task reads neighbouring blocks, each once."""
+    wanted = ids.select("doc_id").distinct()
+    wanted = wanted.repartitionByRange(c.file_count(wanted, 64 << 20), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    listed = c.table_files(manifest)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        reader, shards = files.RangeReader(), {}
+        reader, shards = files.RangeReader(), None
         for batch in batches:
-            rows = []
-            for path, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if path not in shards:
-                    shards[path] = ShardReader(path, reader)
-                rows += [(doc_id, got.tolist()) for got in shards[path].get(doc_id)]
+            shards = shards or ShardList(listed, reader)
+            rows, held = [], 0
+            for doc_id in batch.column(0).to_pylist():
+                for start, got in shards.find(doc_id):
+                    rows.append(made(doc_id, start, got))
+                    held += len(got)
+                if held > 1 << 20:
+                    yield [*zip(*rows)]
+                    rows, held = [], 0
             if rows:
                 yield [*zip(*rows)]
         reader.close()
 
-    return c.map_batches(hits.repartition("path").select("path", "doc_id"), fetch, "doc_id long, ids array<long>")
+    return c.map_batches(wanted, fetch, ddl)
+
+
+def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """Token ids of the documents in ``ids`` (a column doc_id): doc_id, ids. Shards are chosen by binary search in the
+    shard list, then each is read through its filter and sparse index alone."""
+    return _fetch(manifest, ids, "doc_id long, ids array<long>", lambda doc_id, start, ids: (doc_id, ids.tolist()))
+
+
+def lookup_digests(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """``lookup``, with doc_id, start, n_tokens and ids_crc32 of each row found."""
+    return _fetch(manifest, ids, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda doc_id, start, ids: (doc_id, start, len(ids), zlib.crc32(ids)))

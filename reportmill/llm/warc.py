@@ -6,9 +6,10 @@ no hot spot. Each task streams one archive; a record is a gzip member of its own
 
 Index: lines of (key, page_id, archive, offset, length), where the key is the URL with its host reversed, go to key ranges and are sorted;
 each task writes one index file of compressed blocks of ``block_lines`` lines, behind them the sparse directory with each block's first key and place, and a footer.
-A lookup picks index files by their key range, finds the block by binary search in the directory, reads that byte range, and then the record's.
+A lookup sorts its keys; each task picks index files by binary search in the list of files, finds the block by binary search in the directory, reads that byte range, and then the record's.
 
-Only lists of files (a row per file) leave the tasks; files of lost attempts are never listed.
+Only lists of files (a row per file, written as a table) leave the tasks, and only tasks read them; files of lost attempts are never listed. The number of files follows
+the size of the pages, so a file, and what a task holds of it, stays as it is when the data grow.
 
 Rows: null html is empty; a null or odd URL has the key that is left of it, at least empty; rows that share the smallest ``page_id`` of a payload are all responses; a null ``page_id`` ranks behind all others;
 repeated rows are records of their own; other columns are not read; an empty table makes no file.
@@ -98,10 +99,13 @@ def write_archives(pages: DataFrame, path: str, least_dedup: int = 100, date: st
     html = F.coalesce("html", F.lit(""))
     digest = F.sha2(html, 256)
     sized = F.octet_length(html) >= least_dedup
-    groups = pages.where(sized).groupBy(digest.alias("__d")).agg(F.min("page_id").alias("__first"), F.count("*").alias("n")).where("n > 1 and __first is not null").select("__d", "__first")
-    rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%20").alias("url"), reversed_host_key(F.col("url")).alias("key"), html.alias("html"), digest.alias("digest"), sized.alias("sized"))
-    met = rows.join(groups, F.when(F.col("sized"), F.col("digest")) == F.col("__d"), "left")
-    met = met.select("page_id", "url", "key", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to"))
+    groups = pages.where(sized).groupBy(digest.alias("met")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    groups = c.cut(groups, "payloads")
+    rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%20").alias("url"), reversed_host_key(F.col("url")).alias("key"), html.alias("html"), digest.alias("digest"), F.when(sized, digest).alias("met"))
+    # Payloads too small to share have no key, and one that very many pages share has many: both are dealt to many tasks.
+    shared = groups.agg(F.sum("n")).first()[0] or 0
+    met = c.salted_join(rows, groups.select("met", "first"), "met", shared, "left", counts=groups)
+    met = met.select("page_id", "url", "key", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         stream, at = None, 0
@@ -136,17 +140,25 @@ class IndexReader:
             raise ValueError(f"{path} is no capture index")
         self.blocks = json.loads(self.unzip.decompress(reader.read(path, at, length)))
         self.firsts = [b[0].encode("utf-8", "surrogatepass") for b in self.blocks]
+        self.held: tuple[int, list] = (-1, [])
 
     def block(self, n: int) -> list[list]:
-        _, at, length = self.blocks[n]
-        return json.loads(self.unzip.decompress(self.reader.read(self.path, at, length)))
+        """The lines of a block; the last one read is kept, as sorted keys ask for it again."""
+        if self.held[0] != n:
+            _, at, length = self.blocks[n]
+            self.held = n, json.loads(self.unzip.decompress(self.reader.read(self.path, at, length)))
+        return self.held[1]
 
     def find(self, key: str) -> list[list]:
         """Lines of one key, from the one or few blocks that can hold it."""
         want, found = key.encode("utf-8", "surrogatepass"), []
         n = max(0, bisect.bisect_left(self.firsts, want) - 1)
         while n < len(self.blocks) and self.firsts[n] <= want:
-            found += [x for x in self.block(n) if x[0] == key]
+            lines = self.block(n)
+            i = bisect.bisect_left(lines, want, key=lambda x: x[0].encode("utf-8", "surrogatepass"))
+            while i < len(lines) and lines[i][0] == key:
+                found.append(lines[i])
+                i += 1
             n += 1
         return found
 
@@ -155,9 +167,9 @@ def _footer(at: int, length: int, lines: int) -> bytes:
     return _FOOTER.pack(at, length, lines, MAGIC)
 
 
-def write_index(captures: DataFrame, path: str, block_lines: int = 1024, index_files: int | None = None) -> DataFrame:
+def write_index(captures: DataFrame, path: str, block_lines: int = 1024, index_files: int | None = None, file_bytes: int = 64 << 20) -> DataFrame:
     """Sorts capture lines into index files under ``path``; returns the list of files (``DIRECTORY``)."""
-    n = index_files or c.part_count(captures.sparkSession)
+    n = index_files or c.file_count(captures, file_bytes)
     names = [x.split()[0] for x in LINE.split(", ")]
     order = ["key", F.col("page_id").asc_nulls_last(), "path", "offset"]
     ranged = captures.select(*names).repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -233,22 +245,41 @@ def read_all(index_list: DataFrame) -> DataFrame:
     return _read_records(c.map_batches(listed, read, LINE))
 
 
+class Root:
+    """The list of index files, as a task reads it."""
+
+    def __init__(self, listed: list[str], reader: files.RangeReader):
+        rows = sorted((x["first_key"].encode("utf-8", "surrogatepass"), x["last_key"].encode("utf-8", "surrogatepass"), x["path"]) for f in listed for x in files.read_table(f).to_pylist())
+        self.lasts, self.rows, self.reader, self.open = [x[1] for x in rows], rows, reader, (None, None)
+
+    def find(self, key: str) -> list[list]:
+        """Lines of one key, from the one or few files that can hold it."""
+        want, found = key.encode("utf-8", "surrogatepass"), []
+        n = bisect.bisect_left(self.lasts, want)
+        while n < len(self.rows) and self.rows[n][0] <= want:
+            path = self.rows[n][2]
+            if self.open[0] != path:
+                self.open = path, IndexReader(path, self.reader)
+            found += self.open[1].find(key)
+            n += 1
+        return found
+
+
 def lookup(index_list: DataFrame, urls: DataFrame) -> DataFrame:
-    """The records of the URLs in ``urls`` (a column url), by binary search in the sparse directories."""
+    """The records of the URLs in ``urls`` (a column url), by binary search in the list of files, the sparse directories and the blocks.
+
+    ``index_list`` is what ``write_index`` returns. Keys are sorted first, so a task reads neighbouring blocks, each once."""
     wanted = urls.select(reversed_host_key(F.col("url")).alias("key")).distinct()
-    # A row per index file; a key falls into the one or two files whose range holds it.
-    hits = wanted.join(F.broadcast(index_list.select("path", "first_key", "last_key")), (F.col("first_key") <= F.col("key")) & (F.col("last_key") >= F.col("key")))
+    wanted = wanted.repartitionByRange(c.file_count(wanted, 64 << 20), "key").sortWithinPartitions("key")
+    listed = c.table_files(index_list)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        reader, known = files.RangeReader(), {}
+        reader, root = files.RangeReader(), None
         for batch in batches:
-            found = []
-            for path, key in zip(*(x.to_pylist() for x in batch.columns)):
-                if path not in known:
-                    known[path] = IndexReader(path, reader)
-                found += known[path].find(key)
+            root = root or Root(listed, reader)
+            found = [x for key in batch.column(0).to_pylist() for x in root.find(key)]
             if found:
                 yield [*zip(*found)]
         reader.close()
 
-    return _read_records(c.map_batches(hits.repartition("path").select("path", "key"), find, LINE))
+    return _read_records(c.map_batches(wanted, find, LINE))

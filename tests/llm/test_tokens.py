@@ -103,6 +103,8 @@ def test_shards_round_trip(spark, clashes):
         at += n
     ids = [-1 if g[1] is None else g[1] for g in got]
     assert ids == sorted(ids)
+    looked_up = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in sstable.lookup_digests(shards, documents(spark, clashes=clashes)).collect())
+    assert looked_up == got
 
 
 def test_shard_lookup_finds_what_is_there(spark):

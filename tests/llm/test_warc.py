@@ -45,6 +45,17 @@ def test_round_trip(spark, clashes):
     got = warc.read_all(index).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected(ROWS)
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
+    looked_up = warc.lookup(index, pages(spark, clashes=clashes)).collect()
+    assert Counter(map(str, looked_up)) == Counter(map(str, got))
+
+
+def test_many_copies_of_one_payload(spark):
+    """One payload of most pages, and many without any, in as many records."""
+    rows = [(i, f"http://h{i % 7}.example/{i % 50}", BIG if i % 3 else "small") for i in range(4000)]
+    folder = c.scratch(spark, "warc")
+    index = warc.write_index(warc.write_archives(pages(spark, rows), folder), folder, block_lines=64)
+    got = warc.lookup(index, pages(spark, rows)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected(rows)
 
 
 def test_lookup_and_order(spark):
@@ -78,3 +89,4 @@ def test_records_are_gzip_members_of_their_own():
 def test_empty_table(spark):
     folder = c.scratch(spark, "warc")
     assert warc.read_all(warc.write_index(warc.write_archives(pages(spark, []), folder), folder)).count() == 0
+    assert warc.lookup(warc.write_index(warc.write_archives(pages(spark, []), folder), folder), pages(spark)).count() == 0
