@@ -115,6 +115,19 @@ def _drop(path: Column, v: Column, reason: str) -> Column:
     return F.array(F.struct(path.alias("path"), F.to_json(v).alias("value"), F.lit(reason).alias("reason")))
 
 
+def corpus(value: Column, kind: Y.DataType) -> Column:
+    """Everything that a record says, as one text: the names of its fields, whether they have a value or not, and the values, in order. What it says of itself
+    (``_meta``, ``unmapped_content``) is left out."""
+    if isinstance(kind, Y.StructType):
+        said = [x for f in kind.fields if f.name not in ("_meta", "unmapped_content") for x in (F.lit(f.name.replace("_", " ")), corpus(value[f.name], f.dataType))]
+        return F.concat_ws(" ", *said)
+    if isinstance(kind, Y.ArrayType):
+        return F.array_join(F.transform(value, lambda x: corpus(x, kind.elementType)), " ")
+    if isinstance(kind, Y.FractionalType):
+        return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
 def enforce(v: Column, node: Any = None, path: Column | None = None) -> Column:
     """(value, dropped): a variant in the template's shape, and an array of (path, value, reason) of what that shape can't hold.
 

@@ -142,12 +142,13 @@ def token_key(c: Column) -> Column:
 
 
 def normalize_forms(c: Column) -> Column:
-    """NFKC, by an Arrow function for texts beyond ASCII alone."""
+    """NFKC, by an Arrow function; only texts beyond ASCII are sent to it."""
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
+        return s.astype("string").str.normalize("NFKC")  # also where all are null
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)
+    # Declared as not repeatable, so that the optimizer neither repeats it nor moves it into filters, where it can't run.
+    return F.coalesce(nfkc.asNondeterministic()(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def clean_piece(c: Column) -> Column:
