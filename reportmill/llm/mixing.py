@@ -5,21 +5,22 @@ corpus; a target stops at ``most_epochs`` times its source's words and what is o
 weight, until none is above. That is the one level L with ``sum(min(cap, weight * L)) = words``; sources that stop
 are a prefix of the order by cap / weight, so a running sum finds it.
 
-Taking: a source's documents are dealt by hash to blocks of about ``block_docs`` documents, and the blocks
-stand in an order by hash: a random permutation. Every block is taken ``floor(target / words)`` times whole,
-and the first ones once more, until the rest is reached; in the block where it is reached, documents in hash order as
-far as they come nearest to it. So a source misses its target by less than one document.
+Blocks: a source's documents are dealt by hash to blocks of about ``block_docs`` documents. Every block is taken ``floor(target / words)`` times whole, turn by turn,
+and in one more turn those at the front until the rest is reached. Each turn has the blocks in an order of its own, an affine permutation of their numbers, so a block's place
+needs no sort. Where the rest is reached follows from sums over runs of ``run_blocks`` blocks, then over the blocks of one run. Of the block where it is reached, documents are taken in hash
+order as far as they fit, and one more if that comes nearer; so a source misses its target by less than its smallest document that is left out there.
 
-Shards: each block copy goes to one of ``2^levels`` output shards. The counts of block copies by source are split down a binary tree: at
+Shards: the block copies that a source gives go to ``2^levels`` output shards of about ``shard_words`` words. Their counts by source are split down a binary tree: at
 a node, the left half's counts of the sources are drawn from the multivariate hypergeometric distribution, which is what
-dealing a shuffled deck would give; all counts stay exact. A shard's copies of a source are then a range of the permuted blocks, disjoint from
-any other shard's, and the shard is shuffled by a hash key (``shuffle_key``), which a reader sorts by within the shard.
+dealing a shuffled deck would give; all counts stay exact. A leaf draws its count of a source's copies as a range of the permuted blocks, disjoint from
+any other leaf's. Documents are taken through the leaves that draw their blocks: ``placed`` has the shard of each copy, and ``taken`` counts what is placed. A shard is shuffled by a hash key
+(``shuffle_key``); ``mix_documents`` writes the rows shard by shard in that order.
 
-The draws, the order and the keys are hashes of the seed and the rows, so reruns agree. Only tables of sources, blocks
-and tree nodes are grouped or sorted; documents join them by key. A source with a third of all rows has as many more blocks.
+The draws, the order and the keys are hashes of the seed and the rows, so reruns agree. Only tables of sources, runs, blocks
+and tree nodes are grouped or sorted; documents meet them by key. A source with a third of all rows has as many more blocks, and leaves are met in chunks of positions, so no key is hot.
 
 Rows: null or empty text has no words: it is taken like others and adds none; a null source is a source of its own; equal rows are equal
-in hash and are taken alike; an empty table gives no rows; a source without words has target 0 and is taken 0 times.
+in hash and are taken alike (several as one in the block where the rest is reached); an empty table gives no rows; a source without words has target 0 and is taken 0 times.
 """
 
 from __future__ import annotations
@@ -117,66 +118,105 @@ def split_tree(counts: DataFrame, levels: int, seed: int) -> DataFrame:
     return leaves.withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_docs: int = 64, levels: int = 4, seed: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken, and ``placed``: an array of
-    (copy, shard, shuffle_key), one for each copy taken. ``carry`` names further columns to keep."""
-    spark = docs.sparkSession
-    carried = [x for x in carry if x not in ("doc_id",)]
-    # What a document is told apart by, in hash order; equal rows are equal here too.
-    mark = F.xxhash64(F.lit(seed), "doc_id", "text")
-    base = docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").alias("__source"), mark.alias("mark"))
-    base = c.cut(base, "sizes")
-    targets = source_targets(base.select(F.col("__source").alias("source"), "size"), weights, most_epochs)
-    targets = c.cut(targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "targets")
-    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    targets = targets.withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
-    targets = targets.withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long"))
-    named = base.join(targets.select(F.col("source").alias("__s"), "source_no", "source_size", "target", "epochs", "rest", "blocks"), F.col("__source").eqNullSafe(F.col("__s")))
-    block = F.pmod(F.xxhash64("mark", F.lit(seed + 1)), F.col("blocks"))
-    dealt = named.select("doc_id", "mark", "size", "source_no", "source_size", "target", "epochs", "rest", block.alias("block"))
-
-    # Blocks in permuted order, with the words before each.
-    blocks = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "source_no", "block"), "block")
-    blocks = blocks.withColumn("place", F.row_number().over(order) - 1)
-    blocks = blocks.withColumn("ahead", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    # Words of the block that its extra turn may take: all, none, or up to the source's rest.
-    blocks = blocks.withColumn("room", F.col("rest") - F.col("ahead"))
-    blocks = c.cut(blocks.withColumn("turns", F.col("epochs") + (F.col("room") > 0).cast("int")), "blocks")
-
-    # Which shard has which copy: copies of a source are numbered turn by turn along the permuted blocks.
-    per_turn = Window.partitionBy("source_no")
-    numbered = blocks.withColumn("n", F.count("*").over(per_turn))  # before a block becomes a row per copy
-    turns = F.when(F.col("turns") > 0, F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).otherwise(F.array().cast("array<bigint>"))
-    numbered = numbered.select("source_no", "block", "place", "n", F.explode(turns).alias("copy"))
-    numbered = numbered.select("source_no", "block", "copy", (F.col("copy") * F.col("n") + F.col("place")).alias("number"))
-    counts = targets.select("source_no").join(blocks.groupBy("source_no").agg(F.sum("turns").alias("copies")), "source_no", "left").select("source_no", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
-    leaves = c.cut(split_tree(counts, levels, seed), "leaves")
-    home = numbered.join(leaves.where("copies > 0").select("source_no", "shard", F.col("before").alias("from"), (F.col("before") + F.col("copies")).alias("to")), "source_no").where("number >= from and number < to")
-    shards = home.groupBy("source_no", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
-    block_plan = c.cut(blocks.select("source_no", "block", "room").join(shards, ["source_no", "block"], "left"), "plan")
-
-    # Documents: those of the block where the rest is reached, in hash order while more than half of them fits.
-    met = dealt.join(block_plan, ["source_no", "block"])
-    inside = Window.partitionBy("source_no", "block").orderBy("mark", "doc_id")
-    met = met.withColumn("ahead", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    extra = (F.col("room") > 0) & (F.col("ahead") + F.col("size") / 2 <= F.col("room"))
-    met = met.withColumn("copies", F.col("epochs") + extra.cast("long"))
-    placed = F.transform(
-        F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>")),
-        lambda i: F.struct(i.alias("copy"), F.col("shards")[i].alias("shard"), F.xxhash64(F.lit(seed), F.col("mark"), i).alias("shuffle_key")),
-    )
-    out = met.select("doc_id", "mark", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), placed.alias("placed"))
-    if not carried:
-        return out.drop("mark")
-    return out
+def _place(block: Column, turn: Column, source_no: Column, blocks: Column, seed: int) -> Column:
+    """A block's place in a turn: a permutation of 0 to ``blocks`` - 1, as the factor is a prime that doesn't divide ``blocks``."""
+    shift = F.pmod(F.xxhash64(F.lit(seed), source_no, turn.cast("long")), blocks)
+    return F.pmod(F.when(blocks % 998_244_353 != 0, 998_244_353).otherwise(1_000_000_007) * block + shift, blocks)
+
+
+def _fill(entries: Column, room: Column) -> Column:
+    """Marks of the documents (mark, words) that are taken to fill ``room``: in order as far as they fit, then the smallest one left if it brings the sum nearer."""
+    start = F.struct(room.cast("double").alias("left"), F.array().cast("array<bigint>").alias("took"))
+
+    def step(a: Column, e: Column) -> Column:
+        fits = e["words"] <= a["left"]
+        return F.struct(F.when(fits, a["left"] - e["words"]).otherwise(a["left"]).alias("left"), F.when(fits, F.array_append(a["took"], e["mark"])).otherwise(a["took"]).alias("took"))
+
+    filled = F.aggregate(entries, start, step)
+    over = F.array_min(F.transform(F.filter(entries, lambda e: ~F.array_contains(filled["took"], e["mark"])), lambda e: F.struct(e["words"].alias("words"), e["mark"].alias("mark"))))
+    return F.when(over["words"] < 2 * filled["left"], F.array_append(filled["took"], over["mark"])).otherwise(filled["took"])
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_docs: int = 64, levels: int = 4, seed: int = 1) -> DataFrame:
-    """The mix itself: the documents with their columns, a row for each copy taken."""
-    mark = F.xxhash64(F.lit(seed), "doc_id", "text")
+def _sources(dealt: DataFrame, targets: DataFrame, run_blocks: int, seed: int) -> DataFrame:
+    """Adds to ``targets`` where a source's rest is reached: ``edge``, the place of that block in the extra turn, ``room`` of its words, ``chosen``, the marks taken of it."""
+    placed = dealt.withColumn("place", _place(F.col("block"), F.col("epochs"), F.col("source_no"), F.col("blocks"), seed))
+    blocks = c.cut(placed.groupBy("source_no", "place").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "blocks")
+    run = F.floor(F.col("place") / run_blocks)
+    runs = blocks.groupBy("source_no", run.alias("run")).agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
+
+    def reached(rows: DataFrame, order: str) -> DataFrame:
+        before = F.sum("words").over(Window.partitionBy("source_no").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+        return rows.withColumn("ahead", before).where("rest > 0 and ahead <= rest and rest < ahead + words")
+
+    first = reached(runs, "run").select("source_no", F.col("run").alias("at"), (F.col("rest") - F.col("ahead")).alias("left_over"))
+    inside = blocks.join(first, "source_no").where(run == F.col("at")).select("source_no", "place", "words", F.col("left_over").alias("rest"))
+    edge = c.cut(reached(inside, "place").select("source_no", F.col("place").alias("edge"), (F.col("rest") - F.col("ahead")).alias("room")), "edges")
+    there = placed.join(edge, "source_no").where("place = edge and room > 0").groupBy("source_no", "room", "mark").agg(F.sum("size").alias("words"))
+    entries = there.groupBy("source_no", "room").agg(F.array_sort(F.collect_list(F.struct("mark", "words"))).alias("entries"))
+    chosen = entries.select("source_no", _fill(F.col("entries"), F.col("room")).alias("chosen"))
+    return targets.join(edge, "source_no", "left").join(chosen, "source_no", "left")
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_docs: int = 64, levels: int | None = None, seed: int = 1, shard_words: int = 1 << 22, run_blocks: int = 4096
+) -> DataFrame:
+    """One row per document: doc_id, mark, size, source_size, target, taken, and ``placed``: an array of
+    (copy, shard, shuffle_key), one for each copy taken. ``levels``: by ``shard_words`` if not given."""
+    # What a document is told apart by, in hash order; equal rows are equal here too.
+    base = docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").alias("__source"), _mark(seed).alias("mark"))
+    base = c.cut(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    targets = source_targets(base.select(F.col("__source").alias("source"), "size"), weights, most_epochs)
+    targets = targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    some = F.col("source_size") > 0
+    targets = targets.withColumn("epochs", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = targets.withColumn("rest", F.when(some, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
+    targets = c.cut(targets.withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long")), "targets")
+    if levels is None:
+        total = targets.agg(F.sum("target")).first()[0] or 0
+        levels = max(1, int(-(-total // shard_words) - 1).bit_length())
+
+    def deal(sources: DataFrame) -> DataFrame:
+        """Documents with their source's row, by whatever join the size of ``sources`` allows, and their block."""
+        met = base.join(sources.withColumnRenamed("source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__source", "__s")
+        return met.withColumn("block", F.pmod(F.xxhash64("mark", F.lit(seed + 1)), F.col("blocks")))
+
+    plan = _sources(deal(targets), targets, run_blocks, seed)
+    given = F.col("epochs") * F.col("blocks") + F.coalesce(F.col("edge") + (F.col("room") > 0).cast("int"), F.lit(0))
+    plan = plan.withColumn("given", given.cast("long")).withColumn("width", F.greatest(F.lit(1), F.floor(F.col("given") / (1 << levels))))
+    plan = c.cut(plan, "sources")
+
+    # Leaves of the tree: which positions of a source's permuted block copies each shard draws, in chunks of positions.
+    leaves = split_tree(plan.select("source_no", F.col("given").alias("copies")), levels, seed).where("copies > 0")
+    leaves = leaves.join(plan.select("source_no", "width"), "source_no").withColumn("to", F.col("before") + F.col("copies"))
+    chunks = F.sequence(F.floor(F.col("before") / F.col("width")), F.floor((F.col("to") - 1) / F.col("width")))
+    leaves = c.cut(leaves.select("source_no", F.explode(chunks).alias("chunk"), "shard", F.col("before").alias("from"), "to"), "leaves")
+
+    # Documents: a position for each turn their block is in, and the leaf that draws it.
+    met = deal(plan)
+    extra = _place(F.col("block"), F.col("epochs"), F.col("source_no"), F.col("blocks"), seed)
+    more = (extra < F.col("edge")) | ((extra == F.col("edge")) & F.array_contains("chosen", F.col("mark")))
+    turns = F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")
+    met = met.select("row", "mark", "source_no", "blocks", "width", "block", F.explode(F.when(turns > 0, F.sequence(F.lit(0).cast("long"), turns - 1))).alias("copy"))
+    number = F.col("copy") * F.col("blocks") + _place(F.col("block"), F.col("copy"), F.col("source_no"), F.col("blocks"), seed)
+    met = met.withColumn("number", number).withColumn("chunk", F.floor(F.col("number") / F.col("width")))
+    drawn = met.join(leaves, ["source_no", "chunk"]).where("number >= `from` and number < `to`")
+    one = F.struct("copy", "shard", F.xxhash64(F.lit(seed), F.col("mark"), F.col("copy")).alias("shuffle_key"))
+    drawn = drawn.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("placed"))
+    out = deal(plan.select("source", "source_size", "target", "blocks")).join(drawn, "row", "left")
+    placed = F.coalesce("placed", F.array().cast(drawn.schema["placed"].dataType))
+    return out.select("doc_id", "mark", "size", "source_size", "target", (F.col("size") * F.size(placed)).alias("taken"), placed.alias("placed"))
+
+
+def _mark(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the documents with their columns, a row for each copy taken, shard by shard, each shard in the order of its shuffle keys. ``how`` is as for ``mix``."""
     # Equal rows share a mark and are taken alike, so one plan row for each mark and id is enough.
-    plan = mix(docs, weights, most_epochs, block_docs, levels, seed, ("text",)).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies"))
-    plan = c.cut(plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")), "mix")
-    met = docs.withColumn("__m", mark).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")))
-    return met.select(*[docs[x] for x in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    plan = mix(docs, **how).where(F.size("placed") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.first("placed").alias("__placed"))
+    plan = c.cut(plan, "mix")
+    met = docs.withColumn("__m", _mark(how.get("seed", 1))).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")))
+    rows = met.select(*[docs[x] for x in docs.columns], F.explode("__placed").alias("__x"))
+    shuffled = rows.repartition(c.file_count(docs, 128 << 20), "__x.shard").sortWithinPartitions("__x.shard", "__x.shuffle_key")
+    return shuffled.drop("__x")

@@ -50,7 +50,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("placed", lambda x: x["shard"]).alias("shards"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("placed", lambda x: x["shard"]).alias("shards"), F.transform("placed", lambda x: x["shuffle_key"]).alias("shuffle_keys"))
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

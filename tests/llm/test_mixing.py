@@ -56,6 +56,63 @@ def test_real_documents_meet_targets(spark, sf):
         assert abs(taken - target) <= longest
 
 
+@pytest.mark.parametrize("block_docs,run_blocks,levels", [(4, 2, 3), (64, 4096, None)])
+def test_taken_as_brute_force(spark, sf, block_docs, run_blocks, levels):
+    """The rule in plain Python: blocks whole by turns, then those at the front of the extra turn, then the documents that fit."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").unionByName(documents(spark, [r for r in ROWS if r[0] is not None]).select("doc_id", "text", "source").where("doc_id <> 3"))
+    df = df.withColumn("doc_id", F.xxhash64("doc_id", "text"))
+    seed = 9
+    got = {r.doc_id: r for r in mixing.mix(df, block_docs=block_docs, run_blocks=run_blocks, levels=levels, seed=seed).collect()}
+    rows = df.select("doc_id", "text", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark")).withColumn("h", F.xxhash64("mark", F.lit(seed + 1))).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    shifts = {(r.s, r.t): r.h for r in spark.range(1, len(sources) + 1).withColumnRenamed("id", "s").crossJoin(spark.range(4).withColumnRenamed("id", "t")).select("s", "t", F.xxhash64(F.lit(seed), "s", "t").alias("h")).collect()}
+    sizes = {s: sum(size(r.text) for r in rows if r.source == s) for s in sources}
+    want = targets(sizes)
+    for no, s in enumerate(sources, 1):
+        mine = [r for r in rows if r.source == s]
+        n, epochs = -(-len(mine) // block_docs), int(want[s] // sizes[s]) if sizes[s] else 0
+        rest = want[s] - epochs * sizes[s]
+        place = lambda r, n=n, no=no, epochs=epochs: (998_244_353 * (r.h % n) + shifts[no, epochs]) % n
+        taken, left = Counter({r.doc_id: epochs * size(r.text) for r in mine}), rest
+        for p in range(n):
+            block = [r for r in mine if place(r) == p]
+            words = sum(size(r.text) for r in block)
+            if left <= 0:
+                break
+            if words <= left:
+                taken.update({r.doc_id: size(r.text) for r in block})
+                left -= words
+                continue
+            out = []
+            for r in sorted(block, key=lambda r: r.mark):
+                if size(r.text) <= left:
+                    taken[r.doc_id] += size(r.text)
+                    left -= size(r.text)
+                else:
+                    out.append(r)
+            least = min(out, key=lambda r: (size(r.text), r.mark))
+            if size(least.text) < 2 * left:
+                taken[least.doc_id] += size(least.text)
+            break
+        assert {r.doc_id: got[r.doc_id].taken for r in mine} == {r.doc_id: taken[r.doc_id] for r in mine}
+
+
+def test_rows_come_shard_by_shard(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = {r.doc_id: r.placed for r in mixing.mix(df, levels=3).collect()}
+    parts = mixing.mix_documents(df, levels=3).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    by = defaultdict(list)
+    for r in parts:
+        by[r.p].append(r.doc_id)
+    for ids in by.values():  # in each part of the output the shards follow each other, each in the order of its keys
+        places = sorted((p.shard, p.shuffle_key, i) for i in set(ids) for p in plan[i])
+        shards = {p.shard for i in ids for p in plan[i]}
+        kept = [x for x in places if x[0] in shards]
+        positions = iter(kept)
+        assert all(any(i == x[2] for x in positions) for i in ids)
+    assert Counter(r.doc_id for r in parts) == Counter({i: len(p) for i, p in plan.items() if p})
+
+
 def test_sources_that_stop(spark):
     rows = [(i, "w " * (1 if i % 50 else 100), "", "abcde"[min(4, i % 9)], 1) for i in range(900)]
     sizes = defaultdict(int)
@@ -71,7 +128,7 @@ def test_shards_are_disjoint_and_exact(spark):
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA), block_docs=20, levels=3).collect()
     taken = Counter()
     for r in got:
-        assert [p.copy for p in r.placed] == list(range(r.copies))
+        assert [p.copy for p in r.placed] == list(range(len(r.placed)))
         assert all(p.shard is not None and 0 <= p.shard < 8 for p in r.placed)
         taken.update(p.shard for p in r.placed)
     assert len(taken) == 8 and max(taken.values()) < 2 * min(taken.values())
@@ -103,7 +160,7 @@ def test_draws_follow_the_hypergeometric_distribution(spark):
 
 def test_mixed_documents(spark):
     df = documents(spark, clashes=True)
-    plan = {(r.doc_id, r.size): r.copies for r in mixing.mix(df).collect()}
+    plan = {(r.doc_id, r.size): len(r.placed) for r in mixing.mix(df).collect()}
     left = mixing.mix_documents(df)
     assert left.columns == df.columns
     got = Counter((r.doc_id, size(r.text)) for r in left.collect())
