@@ -6,10 +6,11 @@ word goes when a window over it is a repeat: an earlier document holds that wind
 
 Windows are compared in two steps. Of the ``seed_words``-grams of a window the least by hash is its seed; equal windows have equal seeds, so windows whose seed
 one document alone holds, once, are no repeats. Seeds (about a fifth of the words) are grouped first; then only windows
-with a shared seed are hashed whole, grouped and kept apart by their positions. Both groupings are map-side combined minimums; texts
+with a shared seed are hashed whole, grouped and kept apart by their positions. Both groupings are map-side combined minimums, and a seed or window that very many documents hold is dealt to several tasks; texts
 move twice, to meet their shared seeds and the positions of their repeats.
 
-Documents are ordered by ``doc_id``, null last; documents of one id (or null) among which alone a window is shared are ordered by their texts' hashes.
+Documents are ordered by ``doc_id``, null last; documents of one id (or null) among which alone a window is shared are ordered by their texts' hashes; a window that
+later ids share as well stays in every text of the earliest id.
 
 ``dedup_passages`` is the older, coarser rule over units of lines. Units are parts of lines, so that a passage is found wherever it stands: a line is cut behind words that
 end a sentence and behind anchor words (one in ``anchor`` by hash). Each cut depends on one word alone; a passage copied
@@ -243,21 +244,6 @@ class Windows:
         return text, self.hashes[at], at - self.starts[text], at - at[first][which] >= self.run_words if len(at) else self.whole[:0]
 
 
-def _cut(df: DataFrame, label: str) -> DataFrame:
-    """``c.cut``; the shuffle files behind it go at once, as they may be as large as the texts."""
-    out = c.cut(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def _free(df: DataFrame) -> None:
-    """Deletes a table that ``_cut`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: What texts that share their id with no other text have in place of their hash.
 _UNTIED = 2**63 - 1
 
@@ -288,20 +274,22 @@ def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8)
             yield [batch.column("rank").to_numpy()[text], batch.column("node").to_numpy()[text], ties[text], digest.view(np.int64), at, own]
 
     named = _named(docs.where("text is not null").select("doc_id", "text"))
-    seeded = _cut(c.map_batches(named.select("node", "text"), seeds, "node long, digest long"), "seeds")
-    shared = seeded.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    sets = seeded.join(shared, "digest").groupBy("node").agg(F.collect_set("digest").alias("seeds"))
+    seeded = c.cut_and_sweep(c.map_batches(named.select("node", "text"), seeds, "node long, digest long"), "seeds")
+    shared = c.cut_and_sweep(seeded.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "shared-seeds")
+    sets = c.salted_join(seeded, shared.select("digest"), "digest", seeded.count(), counts=shared).groupBy("node").agg(F.collect_set("digest").alias("seeds"))
     ids = docs.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
     sets = sets.join(ids.where("a <> b").select(F.col("doc_id").alias("node"), F.lit(True).alias("many")), "node", "left")
     met = named.join(sets, "node").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "node", (F.col("doc_id").isNull() | F.coalesce("many", F.lit(False))).alias("tied"), "text", "seeds")
-    held = _cut(c.map_batches(met, windows, "rank long, node long, tie long, digest long, at int, own boolean"), "windows")
-    _free(seeded)
+    held = c.cut_and_sweep(c.map_batches(met, windows, "rank long, node long, tie long, digest long, at int, own boolean"), "windows")
+    c.free(seeded)
     others = held.where("not own")
-    first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0")).where(f"rank0 <> rank9 or tie0 <> {_UNTIED}")
+    first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0"), F.count("*").alias("n")).where(f"rank0 <> rank9 or tie0 <> {_UNTIED}")
+    first = c.cut_and_sweep(first, "first-windows")
     later = (F.col("rank") > F.col("rank0")) | ((F.col("rank0") == F.col("rank9")) & (F.col("tie") > F.col("tie0")))
-    gone = others.select("digest", "rank", "node", "tie", "at").join(first, "digest").where(later).select("node", "tie", "at").unionByName(held.where("own").select("node", "tie", "at"))
-    out = _cut(gone.groupBy("node", "tie").agg(F.collect_set("at").alias("gone")), "gone")
-    _free(held)
+    holders = c.salted_join(others.select("digest", "rank", "node", "tie", "at"), first.drop("n"), "digest", held.count(), counts=first)
+    gone = holders.where(later).select("node", "tie", "at").unionByName(held.where("own").select("node", "tie", "at"))
+    out = c.cut_and_sweep(gone.groupBy("node", "tie").agg(F.collect_set("at").alias("gone")), "gone")
+    c.free(held)
     return out
 
 
