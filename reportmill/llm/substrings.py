@@ -277,11 +277,15 @@ def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8)
     seeded = c.cut_and_sweep(c.map_batches(named.select("node", "text"), seeds, "node long, digest long"), "seeds")
     shared = c.cut_and_sweep(seeded.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "shared-seeds")
     sets = c.salted_join(seeded, shared.select("digest"), "digest", seeded.count(), counts=shared).groupBy("node").agg(F.collect_set("digest").alias("seeds"))
+    # Seeds and their shuffles go before texts and windows need the room.
+    known = c.cut_and_sweep(sets, "seeds-by-document")
+    c.free(seeded)
+    c.free(shared)
     ids = docs.where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
-    sets = sets.join(ids.where("a <> b").select(F.col("doc_id").alias("node"), F.lit(True).alias("many")), "node", "left")
+    sets = known.join(ids.where("a <> b").select(F.col("doc_id").alias("node"), F.lit(True).alias("many")), "node", "left")
     met = named.join(sets, "node").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "node", (F.col("doc_id").isNull() | F.coalesce("many", F.lit(False))).alias("tied"), "text", "seeds")
     held = c.cut_and_sweep(c.map_batches(met, windows, "rank long, node long, tie long, digest long, at int, own boolean"), "windows")
-    c.free(seeded)
+    c.free(known)
     others = held.where("not own")
     first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0"), F.count("*").alias("n")).where(f"rank0 <> rank9 or tie0 <> {_UNTIED}")
     first = c.cut_and_sweep(first, "first-windows")
@@ -290,6 +294,7 @@ def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8)
     gone = holders.where(later).select("node", "tie", "at").unionByName(held.where("own").select("node", "tie", "at"))
     out = c.cut_and_sweep(gone.groupBy("node", "tie").agg(F.collect_set("at").alias("gone")), "gone")
     c.free(held)
+    c.free(first)
     return out
 
 
