@@ -270,8 +270,9 @@ def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8)
             owner = np.repeat(np.arange(len(texts)), known.value_lengths().to_numpy())
             made = Windows(texts, run_words, seed_words)
             text, digest, at, own = made.candidates(owner, known.flatten().to_numpy().view(np.uint64), 24)
-            ties = np.where(batch.column("tied").to_numpy(zero_copy_only=False), _text_keys(texts), _UNTIED)
-            yield [batch.column("rank").to_numpy()[text], batch.column("node").to_numpy()[text], ties[text], digest.view(np.int64), at, own]
+            rank, node, untied = batch.column("rank").to_numpy(), batch.column("node").to_numpy(), ~batch.column("tied").to_numpy(zero_copy_only=False)
+            # Windows are many: what nearly all of them have in common is null, and so takes no room in tables and shuffles.
+            yield [rank[text], pa.array(node[text], mask=(node == rank)[text]), pa.array(_text_keys(texts)[text], mask=untied[text]), digest.view(np.int64), at, own]
 
     named = _named(docs.where("text is not null").select("doc_id", "text"))
     seeded = c.cut_and_sweep(c.map_batches(named.select("node", "text"), seeds, "node long, digest long"), "seeds")
@@ -287,11 +288,12 @@ def repeated_windows(docs: DataFrame, run_words: int = 16, seed_words: int = 8)
     held = c.cut_and_sweep(c.map_batches(met, windows, "rank long, node long, tie long, digest long, at int, own boolean"), "windows")
     c.free(known)
     others = held.where("not own")
-    first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0"), F.count("*").alias("n")).where(f"rank0 <> rank9 or tie0 <> {_UNTIED}")
+    first = others.groupBy("digest").agg(F.min("rank").alias("rank0"), F.max("rank").alias("rank9"), F.min("tie").alias("tie0"), F.count("*").alias("n")).where("rank0 <> rank9 or tie0 is not null")
     first = c.cut_and_sweep(first, "first-windows")
     later = (F.col("rank") > F.col("rank0")) | ((F.col("rank0") == F.col("rank9")) & (F.col("tie") > F.col("tie0")))
     holders = c.salted_join(others.select("digest", "rank", "node", "tie", "at"), first.drop("n"), "digest", held.count(), counts=first)
-    gone = holders.where(later).select("node", "tie", "at").unionByName(held.where("own").select("node", "tie", "at"))
+    marked = [F.coalesce("node", "rank").alias("node"), F.coalesce("tie", F.lit(_UNTIED)).alias("tie"), "at"]
+    gone = holders.where(later).select(*marked).unionByName(held.where("own").select(*marked))
     out = c.cut_and_sweep(gone.groupBy("node", "tie").agg(F.collect_set("at").alias("gone")), "gone")
     c.free(held)
     c.free(first)
