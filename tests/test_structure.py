@@ -1,6 +1,7 @@
 """Extraction from whole transcripts: what must be found, and what must not be made up."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,19 @@ def test_fields_of_a_finding(spark):
     body = "intro\n- Severity: High Status: Open\n**Impact:** bad\nRecommendation\nfix it iii. Description: text"
     got = spark.createDataFrame([(body,)], "b string").select(F.inline(findings.fields(F.col("b")))).collect()
     assert [(r.key, r.value.strip()) for r in got] == [(None, "intro"), ("severity", "High"), ("status", "Open"), ("impact", "bad"), ("recommendation", "fix it"), ("observation_description", "text")]
+
+
+def test_tables_are_rendered_from_rows_made_once(spark):
+    from reportmill.sources import render
+
+    assert str(render.markdown_table(F.col("r"))).count("&#124;") == 1  # a row's cells are made in one place, bound for all uses
+    rows = [[["a", "b|c", "d"], ["", "", ""], ["1"], ["2", None, " x\ny "]], [], [["", None]], None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<array<string>>").select(render.markdown_table(F.col("r"))).collect()
+    assert [r[0] for r in got] == ["| a | b&#124;c | d |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 |  | x y |", "", "", ""]
+
+
+def test_rows_do_not_carry_their_table(spark):
+    table = spark.createDataFrame([("d", 1, [["Name", "Email"], ["a", "a@b.c"]])], "document_id string, table_no int, rows array<array<string>>")
+    got = extract._rows(table)
+    assert re.search(r"Generate posexplode\(rows#\d+\), \[\d+\]", got._jdf.queryExecution().optimizedPlan().toString())  # the table ends there
+    assert [(r.head, r.row_no, r.mail) for r in got.orderBy("row_no").collect()] == [("name email a a@b.c", 0, None), ("name email a a@b.c", 1, 1)]
