@@ -240,3 +240,20 @@ def test_rows_do_not_carry_their_table(spark):
     got = extract._rows(table)
     assert re.search(r"Generate posexplode\(rows#\d+\), \[\d+\]", got._jdf.queryExecution().optimizedPlan().toString())  # the table ends there
     assert [(r.head, r.row_no, r.mail) for r in got.orderBy("row_no").collect()] == [("name email a a@b.c", 0, None), ("name email a a@b.c", 1, 1)]
+
+
+def test_a_header_finds_its_label_once(spark):
+    label = str(findings._field_of(F.regexp_extract("previous", "here", 1)))
+    assert label.count("here") == 1  # not once for each of the patterns
+    rows = spark.createDataFrame([("Retest Proof of Concept",), ("",), ("reference",), ("none",), (None,)], "x string")
+    assert [r[0] for r in rows.select(findings._field_of(F.col("x"))).collect()] == ["retest_poc", None, "reference", None, None]
+
+
+def test_strip_takes_every_white_space(spark):
+    from reportmill.functions import text as T
+
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(c, f"{c}a{c}{c}") for c in every], "c string, x string")
+    wrong = df.where(T.strip(F.col("x")) != F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).collect()
+    assert wrong == []
+    assert "regexp" not in str(T.strip(F.col("x"))).lower()  # each line of a transcript passes here
