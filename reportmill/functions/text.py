@@ -83,9 +83,13 @@ def label_key(c: Column) -> Column:
 
 def unwrap_url(c: Column) -> Column:
     """A cell that is one URL, broken over lines, becomes whole again."""
-    t, low = strip(c), F.lower(strip(c))
-    one = (F.startswith(low, F.lit("http://")) | F.startswith(low, F.lit("https://"))) & (F.regexp_count(low, F.lit("http")) == 1)
-    return F.when(one, F.regexp_replace(t, r"(?U)\s+", "")).otherwise(t)
+
+    def whole(t: Column) -> Column:
+        start = F.lower(F.substring(t, 1, 8))
+        one = (F.startswith(start, F.lit("http://")) | F.startswith(start, F.lit("https://"))) & (F.regexp_count(F.lower(t), F.lit("http")) == 1)
+        return F.when(one, F.regexp_replace(t, r"(?U)\s+", "")).otherwise(t)
+
+    return let(strip(c), whole)
 
 
 def compact(cells: Column) -> Column:

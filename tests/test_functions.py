@@ -34,6 +34,13 @@ def test_unwrap_url(spark):
     check(spark, [("https://host- name.test/pa th?x=1", "https://host-name.test/path?x=1"), ("see https://a b", "see https://a b"), ("http://a http://b c", "http://a http://b c"), (" x ", "x")], T.unwrap_url)
 
 
+def test_a_url_is_cleaned_once(spark):
+    assert str(T.clean_piece(F.col("x"))).count("IMAGE") == 1  # not once for each use of the cleaned text
+    cases = {"- HTTPS://a.example/ b ": "HTTPS://a.example/b", "http://a http://b": "http://a http://b", "## x  y": "x  y", "ftp://a b": "ftp://a b", None: None, "": ""}
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string").select("i", T.clean_piece(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [*cases.values()]
+
+
 def test_compact(spark):
     got = spark.createDataFrame([(["a", "", "a", "b", " b ", "", "a"],), ([],)], "c array<string>").select(T.compact(F.col("c")).alias("r")).collect()
     assert [r.r for r in got] == [["a", "b", "a"], []]
