@@ -257,3 +257,29 @@ def test_strip_takes_every_white_space(spark):
     wrong = df.where(T.strip(F.col("x")) != F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).collect()
     assert wrong == []
     assert "regexp" not in str(T.strip(F.col("x"))).lower()  # each line of a transcript passes here
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bodies_are_cut_from_texts_and_lines_read_once(spark):
+    text = "1. First one\r\nSeverity: High\r\nImpact:\ra\x0bb\n2. Second\nStatus: Open\n## Appendix\nSeverity: Low\n3. No\nno"
+    late = "1. Alone\nSeverity: Low\nsee Appendix A\n \tannexure: x\nmore"
+    last = "1. One\n2. Two\nSeverity: Low\n3. Three  Status: x"
+    rows = spark.createDataFrame([("a", text), ("b", late), ("c", last), ("d", None), ("e", "no finding")], "document_id string, markdown string")
+    got = findings.bodies(lines.lines(rows), rows)
+    assert {(r.document_id, r.ordinal, r.number, r.title, r.body) for r in got.collect()} == {
+        ("a", 1, "1", "First one", "Severity: High\nImpact:\na\nb"), ("a", 2, "2", "Second", "Status: Open"), ("b", 1, "1", "Alone", "Severity: Low\nsee Appendix A"),
+        ("c", 1, "1", "One", ""), ("c", 2, "2", "Two", "Severity: Low\n3. Three  Status: x"),
+    }
+    assert _plan(got).count("posexplode(") == 1
+    assert _plan(lines.lines(rows)).count("split(") == 1
+
+
+def test_every_label_begins_with_a_letter_that_is_tried():
+    said = {"Re-validation Proof of Concept", "PoC", "Steps to Reproduce", "Screenshot", "Finding ID", "Observation Date", "Identified Date", "Discovery Date", "Date Observed", "Vulnerability title", "Detailed Observation", "Description", "Impact Level",
+            "Likelihood", "Ease of Exploitation", "Business Impact", "CVE/CWE", "Affected Asset", "Vulnerable URL", "Recommendation", "Mitigation", "Solution", "Ref", "New or Repeat", "Current Status", "Severity", "Risk", "CVSS", "Vector String", "EPSS", "Pre-condition",
+            "Likely Root Cause", "Regulatory Requirement", "Compliance Mapping"}
+    every = "|".join(findings.FIELD_LABELS.values())
+    assert all(re.fullmatch(every, x, re.I) and re.match(findings._LETTER, x) for x in said)
