@@ -283,3 +283,10 @@ def test_every_label_begins_with_a_letter_that_is_tried():
             "Likely Root Cause", "Regulatory Requirement", "Compliance Mapping"}
     every = "|".join(findings.FIELD_LABELS.values())
     assert all(re.fullmatch(every, x, re.I) and re.match(findings._LETTER, x) for x in said)
+
+
+def test_evidence_is_made_once(spark):
+    rows = spark.createDataFrame([("a", "1. One\nSeverity: High\nPoC:\nSeen\n[IMAGE_PAGE_1_FIG_1]\n")], "document_id string, markdown string")
+    got = findings.from_headers(lines.lines(rows), rows).select(F.inline("proof_of_concept"))
+    assert [(r.sr_no, r.type, r.reference, r.description) for r in got.collect()] == [(1, "text", None, "Seen"), (2, "image", "[IMAGE_PAGE_1_FIG_1]", None)]
+    assert _plan(got).count("regexp_extract_all(") == 1
