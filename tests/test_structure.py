@@ -290,3 +290,22 @@ def test_evidence_is_made_once(spark):
     got = findings.from_headers(lines.lines(rows), rows).select(F.inline("proof_of_concept"))
     assert [(r.sr_no, r.type, r.reference, r.description) for r in got.collect()] == [(1, "text", None, "Seen"), (2, "image", "[IMAGE_PAGE_1_FIG_1]", None)]
     assert _plan(got).count("regexp_extract_all(") == 1
+
+
+def _table(spark, *tables):
+    return spark.createDataFrame([("d", i, rows) for i, rows in enumerate(tables, 1)], "document_id string, table_no int, rows array<array<string>>")
+
+
+def test_tables_are_put_in_order_once(spark):
+    text = "| a |\n|---|\n| 1 |\n\n| b |\n|---|\n| 2 |\n| 3 |"
+    got = tables.tables(lines.lines(df(spark, t=text))).where(F.size("rows") > 2)
+    assert [(r.table_no, r.rows) for r in got.collect()] == [(2, [["b"], ["2"], ["3"]])]
+    plan = _plan(got)
+    assert plan.count(".cells") == 1 and "row_number" not in plan  # not for the filter too, and without numbering rows first
+
+
+def test_a_changes_date_is_read_once(spark):
+    changes = [["Version", "Date", "Remarks"], ["1.0", "1 May 2024", "a"], ["x", "2 May 2024", "b"], ["v2", "soon", "c"], ["1.1", "02.05.2024", "c", "d"]]
+    got = extract.history(_table(spark, changes, [["Name", "Email"], ["1.0", "1 May 2024", "no"]]))
+    assert [tuple(r) for r in got.select("ordinal", "version", "date", "remarks").orderBy("ordinal").collect()] == [(1, "1.0", "2024-05-01", "a"), (2, "1.1", "2024-05-02", "c d")]
+    assert _plan(got).count("array_sort(concat(") == 1 and _plan(got).count("transform(row#") == 1
