@@ -309,3 +309,22 @@ def test_a_changes_date_is_read_once(spark):
     got = extract.history(_table(spark, changes, [["Name", "Email"], ["1.0", "1 May 2024", "no"]]))
     assert [tuple(r) for r in got.select("ordinal", "version", "date", "remarks").orderBy("ordinal").collect()] == [(1, "1.0", "2024-05-01", "a"), (2, "1.1", "2024-05-02", "c d")]
     assert _plan(got).count("array_sort(concat(") == 1 and _plan(got).count("transform(row#") == 1
+
+
+def test_a_recipients_cells_are_made_once(spark):
+    told = [["Name", "Organization", "Role", "Email"], ["1", "A", "Org", "Head", "of", "a@b.c"], ["B", "Org", "b@b.c"], ["1", "only@b.c"], ["C", "Org", "none"], ["2", "x@b.c"]]
+    got = extract.recipients(_table(spark, told, [["Name", "Email"], ["D", "d@b.c"]]))
+    assert [tuple(r) for r in got.select("ordinal", "name", "organization", "designation", "email").orderBy("ordinal").collect()] == [(1, "A", "Org", "Head of", "a@b.c"), (2, "B", "Org", None, "b@b.c")]
+    assert _plan(got).count("transform(row#") == 1 and _plan(got).count("slice(c#") == 1
+
+
+def test_plain_cells_are_rendered_as_they_are(spark):
+    from reportmill.functions import text as T
+    from reportmill.sources import render
+
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    cells = [None, "", " ", "a\r\nb", " a", "a ", "a b", "||", "a" * 100_000 + "\n", *every, *[f"a{c}b" for c in every], *[f"{c}a{c}" for c in every]]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    whole = T.strip(F.replace(F.regexp_replace(F.coalesce("c", F.lit("")), r"\r\n|\n", " "), F.lit("|"), F.lit("&#124;")))
+    assert rows.where(~render.escape_cell(F.col("c")).eqNullSafe(whole)).collect() == []
+    assert str(render.escape_cell(F.col("c"))).startswith("Column<'CASE WHEN")  # the rule is for the others
