@@ -328,3 +328,12 @@ def test_plain_cells_are_rendered_as_they_are(spark):
     whole = T.strip(F.replace(F.regexp_replace(F.coalesce("c", F.lit("")), r"\r\n|\n", " "), F.lit("|"), F.lit("&#124;")))
     assert rows.where(~render.escape_cell(F.col("c")).eqNullSafe(whole)).collect() == []
     assert str(render.escape_cell(F.col("c"))).startswith("Column<'CASE WHEN")  # the rule is for the others
+
+
+def test_a_tools_license_is_found_once(spark):
+    used = [["No", "Tool Name", "Version", "License"], ["1", "Burp", "2024", "licensed"], ["2", "nmap", "Open-Source"], ["3", "Nmap", "open source"], ["4", "Zap"], ["5"], ["x", "Nikto", "Free"]]
+    got = extract.tools(_table(spark, used, [["S. No", "Name"], ["1", "Ann"], ["2", "Ben", "Commercial"]]))
+    assert [tuple(r) for r in got.select("ordinal", "sr_no", "tool_name", "version", "license_type").orderBy("ordinal").collect()] == [
+        (1, 1, "Burp", "2024", "Licensed"), (2, 2, "nmap", None, "Open Source"), (3, 4, "Zap", None, None), (4, 2, "Ben", None, "Commercial"),
+    ]
+    assert _plan(got).count("open[") == 1 and _plan(got).count("transform(row#") == 1
