@@ -337,3 +337,11 @@ def test_a_tools_license_is_found_once(spark):
         (1, 1, "Burp", "2024", "Licensed"), (2, 2, "nmap", None, "Open Source"), (3, 4, "Zap", None, None), (4, 2, "Ben", None, "Commercial"),
     ]
     assert _plan(got).count("open[") == 1 and _plan(got).count("transform(row#") == 1
+
+
+def test_a_members_address_is_looked_for_once(spark):
+    people = [["S. No", "Name", "Designation", "Email", "Listed"], ["1", "Ann", "Lead", "Auditor", "a@b.c", "Yes", "OSCP"], ["2.", "Ben", "b@b.c"], ["3", "c@b.c"], ["x", "Dan", "d@b.c"], ["4", "Ann again", "A@b.c"]]
+    got = extract.team(_table(spark, people, [["S. No", "Name", "Organization", "Email"], ["1", "Eve", "Org", "e@b.c"]]))
+    assert [tuple(r) for r in got.select("ordinal", "sr_no", "name", "designation", "email", "certifications").orderBy("ordinal").collect()] == [(1, 1, "Ann", "Lead Auditor", "a@b.c", "OSCP"), (2, 2, "Ben", None, "b@b.c", None)]
+    plan = _plan(got)
+    assert plan.count("transform(row#") == 1 and len(re.findall(r"RLIKE\([^()]*, \[A-Za-z0-9\._%\+-\]", plan)) == 1
