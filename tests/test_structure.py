@@ -345,3 +345,23 @@ def test_a_members_address_is_looked_for_once(spark):
     assert [tuple(r) for r in got.select("ordinal", "sr_no", "name", "designation", "email", "certifications").orderBy("ordinal").collect()] == [(1, 1, "Ann", "Lead Auditor", "a@b.c", "OSCP"), (2, 2, "Ben", None, "b@b.c", None)]
     plan = _plan(got)
     assert plan.count("transform(row#") == 1 and len(re.findall(r"RLIKE\([^()]*, \[A-Za-z0-9\._%\+-\]", plan)) == 1
+
+
+def test_sections_are_read_once_and_equal_each_alone(spark):
+    texts = [
+        None, "", "no section", "Acme Report\n\nMethodology\nOWASP Top 10\n\nMethodology:\nPTES\n| x |\nTools\nOSSTMM", "1. Methodology\n2.1 Standards Referred\nNIST CSF\nExecutive Summary\nAll well.\nOf two lines\n12\nno more\nAppendix",
+        "Exclusions\n• a\n-\n* b, c\n\nTools", "## Out of Scope:\nphones\nDetails of Auditing\nno", "Executive Summary\n7\nno", "Executive Summary", "methodology\n" * 3 + "ISO 27001", "Exclusions\n" + "x\n" * 60,
+        "x\n" * 14 + "Late Report", "x\n" * 15 + "Too late Report", "---\n" * 30 + "# Some Assessment ", "a\n<!-- PAGE_END: 1 -->\nNext Report", "Document title\nReport\n# Document transcript Report", "Toolsmith\nExclusion\nb\nExecutive Summary: x\n\tAudit  Methodology\nMASVS\n Tools\nx",
+    ]
+    rows = lines.lines(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, markdown string")).cache()
+    every = ["standards", "exclusions", "narrative", "title"]
+    got = extract.sections(rows)
+    said = {r.document_id: {k: r[k] for k in every if r[k] is not None} for r in got.collect()}
+    want = {}
+    for k in every:
+        for r in getattr(extract, k)(rows).collect():
+            if r[k] is not None:
+                want.setdefault(r.document_id, {})[k] = r[k]
+    assert {k: v for k, v in said.items() if v} == want and len(want) > 8
+    rows.unpersist()
+    assert _plan(extract.sections(lines.lines(spark.createDataFrame([("a", "x")], "document_id string, markdown string")))).count("posexplode(") == 1
