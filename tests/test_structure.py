@@ -1,6 +1,7 @@
 """Extraction from whole transcripts: what must be found, and what must not be made up."""
 
 import json
+import random
 import re
 
 import pytest
@@ -364,4 +365,28 @@ def test_sections_are_read_once_and_equal_each_alone(spark):
                 want.setdefault(r.document_id, {})[k] = r[k]
     assert {k: v for k, v in said.items() if v} == want and len(want) > 8
     rows.unpersist()
-    assert _plan(extract.sections(lines.lines(spark.createDataFrame([("a", "x")], "document_id string, markdown string")))).count("posexplode(") == 1
+    assert "Window" not in _plan(extract.sections(spark.createDataFrame([], rows.schema)))  # no line is put in order
+
+
+def test_plain_lines_are_prose_as_they_are(spark):
+    from reportmill.functions import text as T
+
+    pieces = ["Open", " ", "  ", "\n", "\t", ":", "Page 1 of 2", "page ", "iv.", "x", "CONFIDENTIAL", "nil", "n/a.", "&#124;", "&", "•", "*", "-", "(", "é", "\r", "[IMAGE_PAGE_1_FIG_1]", "|", "#", "---", "\x0b", "1."]
+    some = random.Random(4)
+    texts = [None, "", "NIL ", " N/A.", "nil:", "a" * 50_000, *pieces, *[f"\n{p}\n" for p in pieces]] + ["".join(some.choices(pieces, k=some.randint(1, 6))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    plain, T._PLAIN = T._PLAIN, "(?!)"
+    try:
+        want = T.prose(F.col("c"))
+    finally:
+        T._PLAIN = plain
+    got = rows.select("c", T.prose(F.col("c")).alias("got"), want.alias("want"), F.col("c").rlike(plain).alias("plain")).collect()
+    assert [r for r in got if r.got != r.want] == [] and sum(bool(r.plain) for r in got) > 100
+
+
+def test_usual_labels_are_what_the_patterns_say(spark):
+    usual = findings._USUAL
+    rows = spark.createDataFrame([(x,) for x in [*usual, *[x.lower() for x in usual], "", "Unknown"]], "c string")
+    c = F.col("c")
+    want = F.when(c != "", F.coalesce(*[F.when(c.rlike(f"(?iU)^(?:{p})$"), F.lit(k)) for k, p in findings.FIELD_LABELS.items()]))
+    assert [r for r in rows.select("c", findings._field_of(c).alias("got"), want.alias("want")).collect() if r.got != r.want] == []
