@@ -368,6 +368,26 @@ def test_sections_are_read_once_and_equal_each_alone(spark):
     assert "Window" not in _plan(extract.sections(spark.createDataFrame([], rows.schema)))  # no line is put in order
 
 
+def test_dates_are_marked_as_they_were_cut(spark):
+    from reportmill.functions import dates as D
+
+    old = (
+        r"(?iU)\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
+        r"|\b\d{1,2}(?:st|nd|rd|th)?[\s\-./,]*[A-Za-z]{3,9}\.?[\s\-./,]*(?:\d{4}|\d{2})\b|\b[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b"
+    )
+    pieces = ["1", "2024", "12/", "5.", "-", "3rd", "May", "5TH ", "Sep.", " ", ", ", "24", "_", "x", "é", "٣", " ", "Januaryfebruary", "20", "\x01", "\x02", "ſep", "\n"]
+    some = random.Random(3)
+    texts = [None, "", "1.2.2024\x01 May 5, 2024\x02", "2024-02-30 and 5th of May 2024", "a" * 50_000 + " 1 May 2024"] + ["".join(some.choices(pieces, k=some.randint(1, 12))) for _ in range(4000)]
+    c = F.col("c")
+    hits = F.regexp_extract_all(c, F.lit(old), F.lit(0))
+    parts = F.zip_with(F.split(c, old, -1), F.transform(hits, lambda h: F.coalesce(D.parse_date(h), h)), lambda g, h: F.concat(F.coalesce(g, F.lit("")), F.coalesce(h, F.lit(""))))
+    want = F.when(c.rlike(r"(?U)\d") & (F.size(hits) > 0), F.array_join(parts, "")).otherwise(c)
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = rows.select("c", D.normalize_dates(c).alias("got"), want.alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == [] and sum(r.c != r.got for r in got) > 30
+    assert str(D.normalize_dates(c)).count("regexp_extract_all") <= str(want).count("regexp_extract_all") - 1
+
+
 def test_plain_lines_are_prose_as_they_are(spark):
     from reportmill.functions import text as T
 
